@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_scan
+from . import bpe, exact_dedup, katz_lm, mixing, near_dedup, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_50k() -> str:
     """Path of the tokenizer file that the query uses; the operator takes any."""
     import public_tokenizers
@@ -35,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_secret_scan, op5_bpe, op8_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_secret_scan, op4_katz_lm, op5_bpe, op7_toxicity, op8_mix_sources, op10_quality_rules)}
 
 SQL_EXACT = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
