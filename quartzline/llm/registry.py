@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_main, katz_lm, mixing, near_dedup, quality_rules, secret_scan, toxicity
+from . import bpe, exact_dedup, html_main, katz_lm, license_scan, mixing, near_dedup, quality_rules, secret_scan, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_secret_scan, op4_katz_lm, op5_bpe, op6_html_main, op7_toxicity, op8_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_secret_scan, op4_katz_lm, op5_bpe, op6_html_main, op7_toxicity, op8_mix_sources, op9_license_scan, op10_quality_rules)}
 
 SQL_EXACT = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
