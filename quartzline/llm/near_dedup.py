@@ -9,6 +9,9 @@ that a pivot resembles take its label, documents with one label needn't be compa
 node with a single label ends there. If few lack its first label, or at ``DEPTH``, these are compared in blocks with
 all of the node. Otherwise it branches.
 
+The trees run in two batches. Components that the first batch confirms are labels in the second, whose nodes within one
+component end at once, so large groups of near copies go through a few trees only.
+
 Candidates are confirmed on the full sets of their whole texts. First each document's best candidate is confirmed;
 then, of the rest, those between different components, as the others can't change a component. Within a small node only
 two spanning forests of the candidates are tried at first, and of a block's members the ``FIRST`` likeliest partners in a batch;
@@ -31,7 +34,9 @@ from .common import pick, saved
 from .components import components
 
 SHINGLE, PER_CENT = 5, 75
-TREES, SKETCH, SMALL, DEPTH, PIVOTS, BLOCK, FEW, FIRST = 12, 96, 48, 8, 4, 128, 256, 16
+BATCHES = ((0, 1, 2), (3, 4, 5, 6, 7, 8, 9))
+TREES = sum(map(len, BATCHES))
+SKETCH, SMALL, DEPTH, PIVOTS, BLOCK, FEW, FIRST = 96, 48, 8, 4, 128, 256, 16
 #: Sketches estimate similarity with a deviation under 0.05; candidates may lie three and a half of them below the threshold.
 MAYBE = 0.59
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -171,8 +176,8 @@ def _compare_leaves(leaves: DataFrame, every: bool = False) -> DataFrame:
 
 
 def _near(big: DataFrame, asked: DataFrame, label: bool, first: int | None = None) -> DataFrame:
-    """Rows of large nodes with those of ``asked`` (node, block, pivots) that they resemble, and with ``label`` the label from
-    them. ``first``: at most that many rows of a batch for one of ``asked``, the likeliest.
+    """Rows of large nodes with those of ``asked`` (node, block, pivots) that they resemble; with ``label`` all rows, and the
+    label from them, else those that resemble any. ``first``: at most that many rows of a batch for one of ``asked``, the likeliest.
     """
 
     def run(batches):
@@ -194,13 +199,15 @@ def _near(big: DataFrame, asked: DataFrame, label: bool, first: int | None = Non
                     like = _likeness((own == pm[y]).sum(axis=1))
                     near = np.flatnonzero((like >= MAYBE) & (ids[at] != p["id"]))
                     if label:
-                        lab[at[like >= MAYBE]] = ps[up[y]]["id"]
+                        root = ps[up[y]]
+                        lab[at[like >= MAYBE]] = root["lab"] if root["lab"] >= 0 else root["id"]
                     elif first and len(near) > first:
                         near = near[np.lexsort((ids[at][near], -like[near]))[:first]]
                     for k in near:
                         hits[at[k]].append(p["id"])
                         ests[at[k]].append(float(like[k]))
-            yield pd.DataFrame({"node": pdf["node"], "id": ids, "sk": pdf["sk"], "lab": lab, "hits": hits, "ests": ests})
+            out = pd.DataFrame({"node": pdf["node"], "id": ids, "sk": pdf["sk"], "lab": lab, "hits": hits, "ests": ests})
+            yield out if label else out[[bool(h) for h in hits]]
 
     joined = big.join(asked, "node").select("node", "id", "sk", "lab", "block", "pivots")
     return joined.mapInPandas(run, "node long, id long, sk binary, lab long, hits array<long>, ests array<double>")
@@ -211,22 +218,22 @@ def _hit_links(rows: DataFrame) -> DataFrame:
     return z.select(F.greatest("id", "h.hits").alias("a"), F.least("id", "h.hits").alias("b"), F.col("h.ests").alias("est"), "node")
 
 
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links (a, b, est, node) that the sketches of ``reps`` (id, keys, sk) suggest, all small nodes' rows, and those of
+def candidates(reps: DataFrame, trees: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Links (a, b, est, node) that the sketches of ``reps`` (id, keys, sk, lab) suggest, all small nodes' rows, and those of
     the large nodes that end in a block comparison.
     """
-    rows = reps.select(F.explode("keys").alias("node"), "id", "sk", F.lit(-1).cast("long").alias("lab"))
+    rows = reps.select(F.explode(F.array(*[F.col("keys")[t] for t in trees])).alias("node"), "id", "sk", "lab")
     links, leaves, ends = [], [], None
     for level in range(DEPTH + 1):
         marks = [F.xxhash64("id", "node", F.lit(j)) for j in range(PIVOTS)]
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.min(h).alias(f"h{j}") for j, h in enumerate(marks)]).filter("n > 1")
-        rows = saved(rows.join(counts, "node"))
+        counts = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.min(h).alias(f"h{j}") for j, h in enumerate(marks)], F.min("lab").alias("l0"), F.max("lab").alias("l1"))
+        rows = saved(rows.join(counts.filter("n > 1 and (l0 <> l1 or l0 < 0)").drop("l0", "l1"), "node"))
         leaves.append(rows.filter(F.col("n") <= SMALL).select("node", "id", "sk", "lab"))
         big = rows.filter(F.col("n") > SMALL)
         if big.isEmpty():
             break
         is_pivot = F.exists(F.array(*[h == F.col(f"h{j}") for j, h in enumerate(marks)]), lambda x: x)
-        pivots = big.filter(is_pivot).groupBy("node").agg(F.collect_list(F.struct("id", "sk")).alias("pivots")).withColumn("block", F.lit(0).cast("long"))
+        pivots = big.filter(is_pivot).groupBy("node").agg(F.collect_list(F.struct("id", "sk", "lab")).alias("pivots")).withColumn("block", F.lit(0).cast("long"))
         near = saved(_near(big, pivots, label=True))
         links.append(_hit_links(near))
         first = near.groupBy("node").agg(F.min(F.when(F.col("lab") >= 0, F.col("lab"))).alias("l"))
@@ -290,35 +297,46 @@ def _crossing(links: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Component of each linked representative: (id, comp)."""
-    found, leaves, ends = candidates(reps)
+    good, comps = None, None
+    for trees in BATCHES:
+        lab = F.lit(-1).cast("long") if comps is None else F.coalesce("comp", F.lit(-1))
+        labelled = reps if comps is None else reps.join(comps, "id", "left")
+        new = _confirmed_links(docs, labelled.select("id", "keys", "sk", lab.alias("lab")), trees, good)
+        good = new if good is None else good.unionByName(new)
+        comps = components(good)
+    return comps
+
+
+def _confirmed_links(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...], known: DataFrame | None) -> DataFrame:
+    """Confirmed links (a, b) that connect all that the batch's candidates connect."""
+    found, leaves, ends = candidates(reps, trees)
     found = saved(found)
-    pairs = found.groupBy("a", "b").agg(F.max("est").alias("est"), F.min("node").alias("node"))
-    ids = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that repeat an id are one document; its smallest text stands for it
+    pairs = saved(found.groupBy("a", "b").agg(F.max("est").alias("est")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows that repeat an id are one document; one of its texts stands for it
     texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    pairs = saved(pairs)
     best = pairs.groupBy("a").agg(F.max(F.struct("est", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
     one = saved(confirmed(best, texts))
-    comps = components(one.filter("ok"))
+    so_far = lambda x: x if known is None else x.unionByName(known)
+    comps = components(so_far(one.filter("ok").select("a", "b")))
     rest = _crossing(pairs.select("a", "b").join(one.select("a", "b"), ["a", "b"], "left_anti"), comps)
     two = saved(confirmed(rest, texts))
-    good = one.unionByName(two).filter("ok").select("a", "b")
-    comps = components(good)
-    failed = one.unionByName(two).filter("not ok").select("a", "b")
-    dirty = found.join(failed, ["a", "b"], "left_semi").select("node").distinct()
-    tried = pairs.select("a", "b")
+    tried = one.unionByName(two)
+    good = tried.filter("ok").select("a", "b")
+    comps = components(so_far(good))
+    dirty = found.join(tried.filter("not ok").select("a", "b"), ["a", "b"], "left_semi").select("node").distinct()
     more = _compare_leaves(leaves.join(dirty, "node", "left_semi"), every=True).select("a", "b").distinct()
     if ends is not None:
         of = comps.select("id", "comp")
         stay = ends.join(of, "id", "left").join(of.select(F.col("id").alias("l"), F.col("comp").alias("lc")), "l", "left")
         stay = stay.filter(F.col("l").isNull() | (F.coalesce("comp", "id") != F.coalesce("lc", "l")))
         more = more.unionByName(_hit_links(_near(ends, _blocks(stay), label=False)).select("a", "b")).distinct()
-    more = saved(_crossing(more.join(tried, ["a", "b"], "left_anti"), comps))
+    more = saved(_crossing(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), comps))
     if more.isEmpty():
-        return comps
+        return good
     lacking = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     three = saved(confirmed(more, docs.join(lacking, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    return components(good.unionByName(three.filter("ok").select("a", "b")))
+    return good.unionByName(three.filter("ok").select("a", "b"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
