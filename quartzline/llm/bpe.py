@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import pick
 
-PART, REMEMBERED, LONG = 1 << 16, 400_000, 48
+PART, REMEMBERED, LONG = 1 << 16, 1_000_000, 48
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
@@ -42,6 +42,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Memory(dict):
+    """The transducer's packed output for pieces that recur, bounded."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.merges.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Merges:
     """Vocabulary and merge list of a byte-level tokenizer file."""
 
@@ -71,16 +86,20 @@ class Merges:
         self.suffixes = {t[k:] for t in self.ids for k in range(len(t))}
         self.follows: dict[int, bool] = {}
         self.width = len(self.bytes_of)
-        self.memory: dict[str, bytes] = {}
+        self.memory = _Memory(self)
 
     def merged(self, text: bytes) -> list[int]:
         """The merge list applied as it is defined: the lowest rank first, from the left."""
         ids, rank = [self.byte_id[b] for b in text], self.rank
-        while len(ids) > 1:
-            best = min((rank.get((a, b), (1 << 60, 0)) + (i,) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))), key=lambda x: (x[0], x[2]))
-            if best[0] == 1 << 60:
+        while True:
+            best, at, new = 1 << 60, -1, 0
+            for i in range(len(ids) - 1):
+                r = rank.get((ids[i], ids[i + 1]))
+                if r is not None and r[0] < best:
+                    best, at, new = r[0], i, r[1]
+            if at < 0:
                 break
-            ids[best[2] : best[2] + 2] = [best[1]]
+            ids[at : at + 2] = [new]
         return ids
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -142,8 +161,8 @@ class Merges:
         return out[::-1]
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        """Packed ids of a text without special tokens."""
-        memory, at, part = self.memory, 0, PART
+        """Packed ids of a text without special tokens, by parts."""
+        at, part = 0, PART
         while at < len(text):
             chunk = text[at : at + part]
             pieces = PIECES.findall(chunk)
@@ -154,16 +173,7 @@ class Merges:
                 # what comes next can still change the last two pieces
                 at -= len(pieces.pop()) + len(pieces.pop())
             at, part = at + len(chunk), PART
-            for p in pieces:
-                ids = memory.get(p)
-                if ids is None:
-                    data = p.encode("utf-8", "surrogatepass")
-                    ids = array("I", self.piece(data)).tobytes()
-                    if len(p) <= LONG:
-                        if len(memory) >= REMEMBERED:
-                            memory.clear()
-                        memory[p] = ids
-                yield ids
+            yield b"".join(map(self.memory.__getitem__, pieces))
 
     def encode(self, text: str) -> array:
         """The text's ids; special tokens in it count as such."""
