@@ -15,7 +15,8 @@ component end at once, so large groups of near copies go through a few trees onl
 Candidates are confirmed on the full sets of their whole texts. First each document's best candidate is confirmed;
 then, of the rest, those between different components, as the others can't change a component. Within a small node only
 two spanning forests of the candidates are tried at first, and of a block's members the ``FIRST`` likeliest partners in a batch;
-nodes where a candidate fails, and members that stay apart from their node's label, then give all their candidates that cross components.
+nodes where a candidate fails then give all their candidates that cross components, and members that stay apart from their large node's
+commonest component, with all that their sketches resemble there, are compared on full sets, block by block.
 
 Null texts count as empty; a text without words has the empty set and is linked with nothing; one with fewer
 words than a shingle has its whole sequence as the one shingle. Rows with the same id are one document. Rows
@@ -36,7 +37,7 @@ from .components import components
 SHINGLE, PER_CENT = 5, 75
 BATCHES = ((0, 1, 2), (3, 4, 5, 6, 7, 8, 9))
 TREES = sum(map(len, BATCHES))
-SKETCH, SMALL, DEPTH, PIVOTS, BLOCK, FEW, FIRST = 96, 48, 8, 4, 128, 256, 16
+SKETCH, SMALL, DEPTH, PIVOTS, BLOCK, FEW, FIRST, HELD, CHUNK = 96, 48, 8, 4, 128, 256, 16, 512, 4096
 #: Sketches estimate similarity with a deviation under 0.05; candidates may lie three and a half of them below the threshold.
 MAYBE = 0.59
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -265,6 +266,105 @@ def _blocks(asks: DataFrame) -> DataFrame:
     return asks.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("id", "sk")).alias("pivots"))
 
 
+def _apart(ends: DataFrame, comps: DataFrame) -> DataFrame:
+    """``ends`` with their components as labels, and ``home``: the commonest one of the node, the smaller of two.
+
+    A candidate that crosses components has at least one side that isn't at home.
+    """
+    rows = ends.join(comps.select("id", "comp"), "id", "left").select("node", "id", "sk", F.coalesce("comp", "id").alias("lab"))
+    sizes = rows.groupBy("node", "lab").agg(F.count("*").alias("c"))
+    most = F.max(F.struct("c", (-F.col("lab")).alias("less")))
+    home = sizes.groupBy("node").agg((-most["less"]).alias("home"), F.sum("c").alias("n"), (F.sum("c") - most["c"]).alias("away"))
+    return rows.join(home.filter("away > 0"), "node")
+
+
+def _suspects(at: DataFrame) -> DataFrame:
+    """The rows of ``at`` whose sketch resembles one of another component, where one of the two isn't at home; no pairs."""
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("away") / BLOCK))
+    held = at.filter("lab <> home").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("id", "sk", "lab")).alias("pivots"))
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m, lab = _matrix(pdf["sk"]), pdf["lab"].to_numpy()
+            out, pos = set(), {}
+            for k, x in enumerate(zip(pdf["node"], pdf["block"], strict=True)):
+                pos.setdefault(x, []).append(k)
+            for (node, _), rows in pos.items():
+                at_ = np.array(rows)
+                for p in pdf["pivots"].iloc[rows[0]]:
+                    near = at_[(_likeness((m[at_] == np.frombuffer(p["sk"], np.uint8)).sum(axis=1)) >= MAYBE) & (lab[at_] != p["lab"])]
+                    if len(near):
+                        out.add((node, p["id"]))
+                        out.update((node, i) for i in pdf["id"].to_numpy()[near])
+            yield pd.DataFrame(sorted(out), columns=["node", "id"], dtype="int64")
+
+    seen = at.select("node", "id", "sk", "lab").join(held, "node").mapInPandas(run, "node long, id long").distinct()
+    rows = at.select("node", "id", "lab", "home").join(seen, ["node", "id"])
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum((F.col("lab") != F.col("home")).cast("long")).alias("away"))
+    return rows.join(sizes, "node")
+
+
+def _across(at: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) on full sets that join the components of each node of ``at`` wherever any of its documents reach the threshold.
+
+    The documents that aren't at home are held in blocks of about ``HELD``; chunks of about ``CHUNK`` of the node's documents
+    stream past each block. A block and a chunk give a spanning forest of their components, not all pairs.
+    """
+    n_blocks, n_chunks = (F.ceil(F.col(c) / k).cast("int") for c, k in (("away", HELD), ("n", CHUNK)))
+    block, chunk = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_chunks).cast("int")
+    place = lambda b, c, held: F.struct(b.alias("block"), c.alias("chunk"), F.lit(held).alias("held"))
+    asks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: place(block, c, True))
+    passes = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: place(b, chunk, False))
+    rows = at.select("node", "id", "lab", F.explode(F.when(F.col("lab") != F.col("home"), F.concat(asks, passes)).otherwise(passes)).alias("p"))
+
+    def as_sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held, index, up = None, [], None, {}
+        for batch in batches:
+            a, b = [], []
+            for node, blk, chk, is_held, i, lab, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(s, np.uint64)
+                if (node, blk, chk) != key:
+                    key, held, index, up = (node, blk, chk), [], None, {}
+                if is_held:
+                    held.append((i, lab, s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    every = np.concatenate([x[2] for x in held])
+                    order = np.argsort(every, kind="stable")
+                    owners = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])[order]
+                    index = every[order], owners, np.array([len(x[2]) for x in held])
+                every, owners, sizes = index
+                lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+                runs = hi - lo
+                at_ = np.arange(runs.sum()) + np.repeat(lo - np.cumsum(runs) + runs, runs)
+                both = np.bincount(owners[at_], minlength=len(held))
+                for k in np.flatnonzero(100 * both >= PER_CENT * (sizes + len(s) - both)):
+                    x, y = _root(up, lab), _root(up, held[k][1])
+                    if x != y:
+                        up[x] = y
+                        a.append(max(i, held[k][0]))
+                        b.append(min(i, held[k][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ids = at.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(as_sets, "id long, s binary")
+    cols = rows.select("node", "p.block", "p.chunk", "p.held", "id", "lab").join(sets, "id").select("node", "block", "chunk", "held", "id", "lab", "s")
+    dealt = cols.repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk", F.desc("held"), "id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
     """``links`` (a, b and more) with ok: whether the full sets of the two texts (doc_id, text) reach the threshold."""
     left = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -327,10 +427,7 @@ def _confirmed_links(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...], k
     dirty = found.join(tried.filter("not ok").select("a", "b"), ["a", "b"], "left_semi").select("node").distinct()
     more = _compare_leaves(leaves.join(dirty, "node", "left_semi"), every=True).select("a", "b").distinct()
     if ends is not None:
-        of = comps.select("id", "comp")
-        stay = ends.join(of, "id", "left").join(of.select(F.col("id").alias("l"), F.col("comp").alias("lc")), "l", "left")
-        stay = stay.filter(F.col("l").isNull() | (F.coalesce("comp", "id") != F.coalesce("lc", "l")))
-        more = more.unionByName(_hit_links(_near(ends, _blocks(stay), label=False)).select("a", "b")).distinct()
+        good = good.unionByName(saved(_across(saved(_suspects(saved(_apart(ends, comps)))), docs)))
     more = saved(_crossing(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), comps))
     if more.isEmpty():
         return good

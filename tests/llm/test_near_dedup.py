@@ -71,6 +71,28 @@ def test_deep_nodes_fall_back_to_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+def test_across_joins_what_brute_force_joins(spark, monkeypatch):
+    """Copies around the threshold, every document apart at first: held blocks and chunks miss no component."""
+    monkeypatch.setattr(near_dedup, "HELD", 8)
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ends = near_dedup.sketches(docs).select(F.lit(7).cast("long").alias("node"), F.col("doc_id").alias("id"), "sk")
+    none = spark.createDataFrame([], "id long, comp long")
+    at = near_dedup._apart(ends, none)
+    assert {(r.home, r.n, r.away) for r in at.collect()} == {(0, 150, 149)}
+    links = near_dedup._across(near_dedup._suspects(at), docs)
+    comp = {r.id: r.comp for r in components(links).collect()}
+    assert {(i, comp.get(i, i)) for i, _ in rows} == {(i, c) for i, _, c in brute(rows)}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_dedup(empty).collect() == []
