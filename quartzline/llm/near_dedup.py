@@ -5,9 +5,10 @@ each class's smallest id goes on. For ``TREES`` independent trees, documents bra
 tokens: a node splits by one or two coordinates of the sketch, chosen by the node's own hash, so that pairs
 at the threshold are expected to go on together once. Nodes of up to ``SMALL`` documents are compared
 exhaustively by their sketches. In a larger node all documents are first compared with a few pivots; those
-that a pivot resembles take its label, documents with one label needn't be compared any more, and a
+that a pivot resembles take its label, documents with one label aren't compared below it, and a
 node with a single label ends there. If few lack its first label, or at ``DEPTH``, these are compared in blocks with
-all of the node. Otherwise it branches.
+all of the node. Otherwise it branches. A pivot's label is a guess from sketches: whatever nodes and labels it kept from being compared is
+compared again once links are confirmed, wherever the confirmed components don't bear it out.
 
 The trees run in two batches. Components that the first batch confirms are labels in the second, whose nodes within one
 component end at once, so large groups of near copies go through a few trees only.
@@ -15,8 +16,8 @@ component end at once, so large groups of near copies go through a few trees onl
 Candidates are confirmed on the full sets of their whole texts. First each document's best candidate is confirmed;
 then, of the rest, those between different components, as the others can't change a component. Within a small node only
 two spanning forests of the candidates are tried at first, and of a block's members the ``FIRST`` likeliest partners in a batch;
-nodes where a candidate fails then give all their candidates that cross components, and members that stay apart from their large node's
-commonest component, with all that their sketches resemble there, are compared on full sets, block by block.
+nodes where a candidate fails then give all their candidates that cross components, and members that stay apart from the commonest component of their
+large node, or of their label in a node that branched, with all that their sketches resemble there, are compared on full sets, block by block.
 
 Null texts count as empty; a text without words has the empty set and is linked with nothing; one with fewer
 words than a shingle has its whole sequence as the one shingle. Rows with the same id are one document. Rows
@@ -131,13 +132,13 @@ def _root(up: dict, x):
 
 def _leaf_pairs(pdf: pd.DataFrame, every: bool) -> pd.DataFrame:
     """Candidates of the small nodes of ``pdf`` (sorted by node): two spanning forests by likeness, or all of them."""
-    node, ids, lab, m = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["lab"].to_numpy(), _matrix(pdf["sk"])
+    node, ids, lab, sure, m = *(pdf[c].to_numpy() for c in ("node", "id", "lab", "sure")), _matrix(pdf["sk"])
     found = []
     for d in range(1, min(SMALL, len(node))):
         i = np.flatnonzero(node[d:] == node[:-d])
         if not len(i):
             break
-        i = i[(lab[i] != lab[i + d]) | (lab[i] < 0)]
+        i = i[((lab[i] != lab[i + d]) | (lab[i] < 0)) & ((sure[i] != sure[i + d]) | (sure[i] < 0))]
         e = _likeness((m[i] == m[i + d]).sum(axis=1))
         ok = e >= MAYBE
         found.append(np.stack([i[ok], i[ok] + d, e[ok]], axis=1))
@@ -148,7 +149,8 @@ def _leaf_pairs(pdf: pd.DataFrame, every: bool) -> pd.DataFrame:
         order = np.lexsort((ids[j], ids[i], -e))
         for _ in range(2):
             up: dict = {}
-            name = lambda k: (node[k], lab[k], -1) if lab[k] >= 0 else (node[k], -1, k)
+            # labels that only a pivot gave don't stand for links
+            name = lambda k: (node[k], sure[k], -1) if sure[k] >= 0 else (node[k], -1, k)
             for k in order:
                 if not keep[k]:
                     a, b = _root(up, name(i[k])), _root(up, name(j[k]))
@@ -172,7 +174,7 @@ def _compare_leaves(leaves: DataFrame, every: bool = False) -> DataFrame:
         if held is not None and len(held):
             yield _leaf_pairs(held, every)
 
-    rows = leaves.select("node", "id", "lab", "sk").repartition("node").sortWithinPartitions("node", "id")
+    rows = leaves.select("node", "id", "lab", "sure", "sk").repartition("node").sortWithinPartitions("node", "id")
     return rows.mapInPandas(run, "a long, b long, est double, node long")
 
 
@@ -207,11 +209,11 @@ def _near(big: DataFrame, asked: DataFrame, label: bool, first: int | None = Non
                     for k in near:
                         hits[at[k]].append(p["id"])
                         ests[at[k]].append(float(like[k]))
-            out = pd.DataFrame({"node": pdf["node"], "id": ids, "sk": pdf["sk"], "lab": lab, "hits": hits, "ests": ests})
+            out = pd.DataFrame({"node": pdf["node"], "id": ids, "sk": pdf["sk"], "lab": lab, "sure": pdf["sure"], "hits": hits, "ests": ests})
             yield out if label else out[[bool(h) for h in hits]]
 
-    joined = big.join(asked, "node").select("node", "id", "sk", "lab", "block", "pivots")
-    return joined.mapInPandas(run, "node long, id long, sk binary, lab long, hits array<long>, ests array<double>")
+    joined = big.join(asked, "node").select("node", "id", "sk", "lab", "sure", "block", "pivots")
+    return joined.mapInPandas(run, "node long, id long, sk binary, lab long, sure long, hits array<long>, ests array<double>")
 
 
 def _hit_links(rows: DataFrame) -> DataFrame:
@@ -221,15 +223,17 @@ def _hit_links(rows: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, trees: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Links (a, b, est, node) that the sketches of ``reps`` (id, keys, sk, lab) suggest, all small nodes' rows, and those of
-    the large nodes that end in a block comparison.
+    the large nodes that end, with a node of its own for each label of a large node that branches.
+
+    ``sure`` is the component that ``reps`` came with, ``lab`` that or a pivot's label.
     """
-    rows = reps.select(F.explode(F.array(*[F.col("keys")[t] for t in trees])).alias("node"), "id", "sk", "lab")
+    rows = reps.select(F.explode(F.array(*[F.col("keys")[t] for t in trees])).alias("node"), "id", "sk", "lab", F.col("lab").alias("sure"))
     links, leaves, ends = [], [], None
     for level in range(DEPTH + 1):
         marks = [F.xxhash64("id", "node", F.lit(j)) for j in range(PIVOTS)]
         counts = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.min(h).alias(f"h{j}") for j, h in enumerate(marks)], F.min("lab").alias("l0"), F.max("lab").alias("l1"))
         rows = saved(rows.join(counts.filter("n > 1 and (l0 <> l1 or l0 < 0)").drop("l0", "l1"), "node"))
-        leaves.append(rows.filter(F.col("n") <= SMALL).select("node", "id", "sk", "lab"))
+        leaves.append(rows.filter(F.col("n") <= SMALL).select("node", "id", "sk", "lab", "sure"))
         big = rows.filter(F.col("n") > SMALL)
         if big.isEmpty():
             break
@@ -239,18 +243,21 @@ def candidates(reps: DataFrame, trees: tuple[int, ...]) -> tuple[DataFrame, Data
         links.append(_hit_links(near))
         first = near.groupBy("node").agg(F.min(F.when(F.col("lab") >= 0, F.col("lab"))).alias("l"))
         apart = F.coalesce(F.col("lab") != F.col("l"), F.lit(True))
-        state = near.join(first, "node").groupBy("node").agg(F.min("l").alias("l"), F.sum(apart.cast("long")).alias("apart")).filter("apart > 0")
+        state = near.join(first, "node").groupBy("node").agg(F.min("l").alias("l"), F.sum(apart.cast("long")).alias("apart"))
         near = near.join(state, "node").drop("hits", "ests")
         few = F.col("apart") <= (FEW if level < DEPTH else 1 << 62)
         end = saved(near.filter(few))
         links.append(_hit_links(_near(end, _blocks(end.filter(apart)), label=False, first=FIRST)))
-        ends = end if ends is None else ends.unionByName(end)
+        alike = near.filter(~few & (F.col("lab") >= 0)).withColumn("node", F.xxhash64("node", F.lit(98), "lab"))
+        for x in (end, saved(alike)):
+            x = x.select("node", "id", "sk")
+            ends = x if ends is None else ends.unionByName(x)
         # one coordinate, or two for a third of the nodes: the threshold's 3/4 of pairs that agree, times 4/3
         c = lambda k: F.pmod(F.xxhash64("node", F.lit(100 + k)), F.lit(SKETCH)).cast("int")
         child = lambda k: F.xxhash64("node", c(k), F.substring("sk", c(k) + 1, F.lit(1)))
         both = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(3)) == 0
         kids = F.when(both & (c(0) != c(1)), F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        rows = near.filter(~few).select(F.explode(kids).alias("node"), "id", "sk", "lab")
+        rows = near.filter(~few).select(F.explode(kids).alias("node"), "id", "sk", "lab", "sure")
     all_leaves = leaves[0]
     for x in leaves[1:]:
         all_leaves = all_leaves.unionByName(x)

@@ -121,3 +121,32 @@ def test_star_components(spark):
     want = {x: root(x) for p in links for x in p if root(x) != x}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def _family(rng, n=70):
+    """Texts that share about two thirds of their shingles with each other, each with a near copy of its own."""
+    base, texts = [f"b{k}" for k in range(200)], []
+    for _ in range(n):
+        t = list(base)
+        for k in rng.sample(range(0, 200, 5), 4):
+            t[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+        t[rng.randrange(200)] = "copy"
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("few", [256, -1])
+def test_pairs_under_one_pivot_label(spark, monkeypatch, few):
+    """One node, whose documents resemble its pivots without reaching the threshold, while some reach it with each other."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rows = list(enumerate(_family(random.Random(12))))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = F.array(F.lit(7).cast("long")), F.lit(-1).cast("long")
+    reps = near_dedup.sketches(docs).select(F.col("doc_id").alias("id"), one[0].alias("keys"), "sk", one[1].alias("lab"))
+    links = near_dedup._confirmed_links(docs, reps, (0,), None)
+    comp = {r.id: r.comp for r in components(links).collect()}
+    assert {(i, comp.get(i, i)) for i, _ in rows} == {(i, c) for i, _, c in want}
