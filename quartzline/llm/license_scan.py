@@ -1,13 +1,13 @@
 """Licence scan: a trained paragraph classifier in DataFrame expressions, with template comparison.
 
-Paragraphs are lines. Those with an anchor word go through sparse logistic regression over word 1- and 2-grams, one
+Paragraphs are lines. All are judged: they go through sparse logistic regression over word 1- and 2-grams, one
 weight vector for each licence family and one for "none". The probabilities are calibrated by a temperature fitted on
 held-out variants. A family counts if it is likelier than ``SURE`` and a template of the family agrees: the share of common words among all words of
 both reaches ``AGREE``. A paragraph that is a licence statement, but of no family surely, is "unknown".
 
 Training needs no corpus: paragraphs are written from the templates below with seeded changes, and "none" from
-ordinary sentences with the same words. A paragraph without an anchor word has no statement by definition, so the
-gate doesn't lose what the classifier could find.
+ordinary sentences with the same words. Grams of ``COMMON`` words alone have no weight. Lines that hold no word of a gram that makes any
+class likelier than "none" aren't scored: without such grams a line is at most as likely a statement as an empty one, which is "none".
 
 Null texts count as empty; every row gives one row, repeated ones too; an empty table gives an empty result.
 """
@@ -25,23 +25,25 @@ from pyspark.sql import functions as F
 from .common import let, pick
 
 SURE, AGREE, LEAST_STATEMENT, SEED = 0.6, 0.3, 0.5, 11
-ANCHOR = "(?i)licen[sc]|copyright|public domain|creative commons|spdx"
+#: What a line must have to be judged: any word.
+ANCHOR = "[a-zA-Z0-9]"
+COMMON = frozenset("a all an and any are as at be by for from have he her in is it its may more no not of on or she that the they this to under was we with you your".split())
 NONE = "none"
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "you may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL v3 license.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL v3 license.", "Distributed under the terms of the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1"],
-    "BSD": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-2-Clause"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0 license.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution license."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial License."],
     "CC0": ["Released into the public domain under CC0.", "To the extent possible under law, the author has waived all copyright under CC0 public domain dedication."],
-    "proprietary": ["Copyright Example Inc. All rights reserved.", "No part may be reproduced without a license from the copyright holder. All rights reserved."],
+    "proprietary": ["All rights reserved.", "Copyright Example Inc. All rights reserved.", "No part may be reproduced without a license from the copyright holder. All rights reserved."],
 }
-ORDINARY = ["She got her driving license last week.", "The plumber is a licensed professional with years of work.", "Poetic license allows the author to change the facts.", "The bar lost its liquor license in the city.", "Parking requires a license plate number.", "A fishing licence costs ten euros in this state.", "The doctor is licensed to practice medicine.", "They discussed copyright law at the university.", "Copyright disputes are common in music.", "He has a license to operate the crane.", "The term public domain came up in class.", "The apache helicopter pilot had a license.", "Students at MIT need a license for the lab.", "The mayor renewed the taxi license of the general public service."]
-UNKNOWN = ["Licensed under the terms given below.", "This work is licensed under the Foo Bar License, version 7.", "Released under the Example Community License.", "Distributed under a custom license."]
+ORDINARY = ["She got her driving license last week.", "The plumber is a licensed professional with years of work.", "Poetic license allows the author to change the facts.", "The bar lost its liquor license in the city.", "Parking requires a license plate number.", "A fishing licence costs ten euros in this state.", "The doctor is licensed to practice medicine.", "They discussed copyright law at the university.", "Copyright disputes are common in music.", "He has a license to operate the crane.", "The term public domain came up in class.", "The apache helicopter pilot had a license.", "Students at MIT need a license for the lab.", "The mayor renewed the taxi license of the general public service.", "Er kommt mit dem Zug und geht mit ihr nach Hause.", "Mit dem Hund war sie im Wald.", "Das ist mit Abstand der beste Tag und mit viel Arbeit verbunden.", "Sie sprach mit ihm.", "Mit und ohne Regen.", "The software was slow in the first version.", "The author may not use this text in class.", "The public library has a general source of files.", "Under the terms of the agreement he may leave the project.", "All people have rights.", "She reserved a table for two.", "Permission to enter was granted by the owner.", "The foundation published work on free speech.", "The international commons room is part of the domain.", "The holder of the ticket is governed by the law of the state."]
+UNKNOWN = ["Licensed under the terms given below.", "This work is licensed under the Foo Bar License, version 7.", "Released under the Example Community License.", "Distributed under a custom license.", "The software is provided \"as is\", without warranty of any kind, express or implied."]
 
 
 def words_in(text: str) -> list[str]:
@@ -89,7 +91,7 @@ def train(seed: int = SEED) -> Model:
     families = [*TEMPLATES, "unknown", NONE]
     rows = [(v, families.index(f)) for f, ts in (TEMPLATES | {"unknown": UNKNOWN, NONE: ORDINARY}).items() for t in ts for v in _variants(rng, t, 12)]
     rng.shuffle(rows)
-    vocabulary = sorted({g for t in [*sum(TEMPLATES.values(), []), *ORDINARY, *UNKNOWN] for g in grams(t)})
+    vocabulary = sorted({g for t in [*sum(TEMPLATES.values(), []), *ORDINARY, *UNKNOWN] for g in grams(t) if not COMMON.issuperset(g.split())})
     place = {g: k for k, g in enumerate(vocabulary)}
     x, y = np.zeros((len(rows), len(vocabulary) + 1)), np.array([k for _, k in rows])
     for i, (t, _) in enumerate(rows):
@@ -111,11 +113,18 @@ def train(seed: int = SEED) -> Model:
     return Model(families, [v for v, k in zip(vocabulary, keep, strict=True) if k], np.round(w[np.r_[keep, True]], 4), temperature)
 
 
+def cues(model: Model) -> list[str]:
+    """Words without one of which a line has no gram that makes any class likelier than "none", which an empty line is."""
+    assert model.probabilities("")[-1] > max(1 - LEAST_STATEMENT, 1 - SURE)
+    helps = [g for g, w in zip(model.vocabulary, model.weights[:-1], strict=True) if w[:-1].max() > w[-1]]
+    return sorted({next(w for w in g.split() if w not in COMMON) for g in helps})
+
+
 def _judge(line: Column, model: Model) -> Column:
     """Struct (family, p, statement) of a paragraph."""
     words = F.filter(F.split(F.lower(line), "[^a-z0-9]+", -1), lambda w: w != "")
     vec = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    table = F.array(*[F.struct(F.lit(g).alias("g"), vec(w).alias("w")) for g, w in zip(model.vocabulary, model.weights[:-1], strict=True)])
+    vocabulary, weights = F.array(*[F.lit(g) for g in model.vocabulary]), F.array(*[vec(w) for w in model.weights[:-1]])
     names = F.array(*[F.lit(f) for f in model.families])
     templates = F.array(*[F.array(*[F.array(*[F.lit(w) for w in sorted(set(words_in(t)))]) for t in TEMPLATES.get(f, [""])]) for f in model.families])
 
@@ -124,7 +133,8 @@ def _judge(line: Column, model: Model) -> Column:
         return let(F.array_distinct(F.concat(w, pairs)), lambda g: let(scores(g), lambda z: let(softmax(z), lambda p: verdict(w, p))))
 
     def scores(g: Column) -> Column:
-        return F.aggregate(F.filter(table, lambda v: F.array_contains(g, v["g"])), vec(model.weights[-1]), lambda a, v: F.zip_with(a, v["w"], lambda x, y: x + y))
+        at = F.transform(F.array_intersect(g, vocabulary), lambda x: (F.array_position(vocabulary, x) - 1).cast("int"))
+        return F.aggregate(F.array_sort(at), vec(model.weights[-1]), lambda a, k: F.zip_with(a, weights[k], lambda x, y: x + y))
 
     def softmax(z: Column) -> Column:
         e = F.transform(z, lambda x: F.exp((x - F.array_max(z)) / model.temperature))
@@ -144,7 +154,11 @@ def _judge(line: Column, model: Model) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_paragraphs (licence statements), families (sorted, comma-joined), n_unknown, best_p."""
     model = train()
-    lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(ANCHOR))
+    by_letter: dict[str, list[str]] = {}
+    for w in cues(model):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    cue = "(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(ws)})" for a, ws in by_letter.items()) + ")(?![a-z0-9])"
+    lines = F.filter(F.split("t", "\n", -1), lambda x: F.lower(x).rlike(cue))
     found = F.filter(F.transform(lines, lambda x: _judge(x, model)), lambda j: j["family"] != NONE)
     kind = "array<struct<family:string,p:double,statement:double>>"
 
@@ -157,6 +171,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.round(F.array_max(F.transform(j, lambda x: x["p"])), 6).alias("best_p"),
         )
 
-    judged = F.when(F.col("t").rlike(ANCHOR), found).otherwise(F.array()).cast(kind)
+    judged = found.cast(kind)
     texts = pick(docs, doc_id=id_col, t=text_col).select("doc_id", F.coalesce("t", F.lit("")).alias("t"))
     return texts.select("doc_id", F.inline(F.array(let(judged, summary))))

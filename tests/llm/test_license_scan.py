@@ -38,3 +38,16 @@ def test_expressions_brute_and_accuracy(spark):
     assert false <= len(plain) // 20
     assert got[len(texts) - 1].families == "Apache-2.0,MIT"
     assert L.license_scan(docs.filter("false")).collect() == []
+
+
+def test_statements_without_the_word_license(spark):
+    texts = {
+        "All rights reserved.": "proprietary",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+        "This is distributed under the terms of the GPL v3.": "GPL",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED': "",
+    }
+    plain = ["", "Er fuhr mit dem Bus.", "The rights of the people.", "The men went to work in this state under the general."]
+    docs = spark.createDataFrame(list(enumerate([f"some words\n{t}" for t in texts] + plain)), "doc_id long, text string")
+    got = [(r.n_paragraphs, r.families) for r in L.license_scan(docs).sort("doc_id").collect()]
+    assert got == [(1, f) for f in texts.values()] + [(0, "")] * len(plain)
