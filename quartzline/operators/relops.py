@@ -122,8 +122,8 @@ def set_f1(a: Column, b: Column) -> Column:
 
 
 def best_match(queries: DataFrame, pool: DataFrame, score, block: list[str], k: int = 1, least: float | None = None) -> DataFrame:
-    """The k best of the pool for each query within a block; ties go to the pool's order (column pool_seq)."""
-    scored = queries.join(pool, block).withColumn("score", score)
+    """The k best of the pool for each query within a block, or of the whole pool if ``block`` is empty; ties go to the pool's order (column pool_seq)."""
+    scored = (queries.join(pool, block) if block else queries.crossJoin(pool)).withColumn("score", score)
     if least is not None:
         scored = scored.filter(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_seq")

@@ -347,10 +347,9 @@ def q_fuzzy_top1_levenshtein(spark, sf_dir):
 @query()
 def q_fuzzy_top1(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    q = names.select(F.col("name").alias("query_id"), F.substring("name", 1, 1).alias("block"))
-    pool = names.select(F.col("name").alias("pool_seq"), F.substring("name", 1, 1).alias("block"))
+    q, pool = names.select(F.col("name").alias("query_id")), names.select(F.col("name").alias("pool_seq"))
     score = F.when(F.col("query_id") != F.col("pool_seq"), scalars.token_sort_ratio(F.col("query_id"), F.col("pool_seq")))
-    return relops.best_match(q, pool, score, ["block"], least=0.0).select(F.col("query_id").alias("name"), F.col("pool_seq").alias("best"), F.round("score", 6).alias("score"))
+    return relops.best_match(q, pool, score, [], least=0.0).select(F.col("query_id").alias("name"), F.col("pool_seq").alias("best"), F.round("score", 6).alias("score"))
 
 
 @query(

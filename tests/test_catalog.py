@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from quartzline.functions import scalars
 from quartzline.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -38,3 +39,15 @@ def test_same_rows(spark, db, name):
         assert len(rows) == len(want)
         bad = [(g, w) for g, w in zip(rows, want, strict=True) if not all(map(same, g, w))]
         assert not bad, bad[:3]
+
+
+def test_fuzzy_top1_is_the_best_of_all_names(spark, db):
+    names = sorted(r[0] for r in db.execute("SELECT DISTINCT p_name FROM part").fetchall())
+    got = {r.name: (r.best, r.score) for r in catalog.q_fuzzy_top1(spark, SF).collect()}
+    want = {}
+    for a in names:
+        score, best = max(((scalars.token_sort(a, b), b) for b in names if b != a), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        want[a] = (best, round(score, 6))
+    assert got.keys() == want.keys()
+    assert all(got[a][0] == want[a][0] and math.isclose(got[a][1], want[a][1], abs_tol=1e-6) for a in names)
+    assert any(a[0] != best[0] for a, (best, _) in got.items())
