@@ -3,7 +3,10 @@
 Paragraphs are lines. All are judged: they go through sparse logistic regression over word 1- and 2-grams, one
 weight vector for each licence family and one for "none". The probabilities are calibrated by a temperature fitted on
 held-out variants. A family counts if it is likelier than ``SURE`` and a template of the family agrees: the share of common words among all words of
-both reaches ``AGREE``. A paragraph that is a licence statement, but of no family surely, is "unknown".
+both reaches ``AGREE``, or the share of the template's words that are there reaches ``HELD``. A paragraph that is a licence statement, but of no family surely, is "unknown".
+
+A paragraph of more than ``WINDOW`` words is judged in windows of that many, one at each ``STEP`` words, so that its other words don't weigh against a
+statement in it. It counts once; its families are those of all its windows, and it is "unknown" if none has a family but one is a statement.
 
 Training needs no corpus: paragraphs are written from the templates below with seeded changes, and "none" from
 ordinary sentences with the same words. Grams of ``COMMON`` words alone have no weight. Lines that hold no word of a gram that makes any
@@ -25,14 +28,26 @@ from pyspark.sql import functions as F
 from .common import let, pick
 
 SURE, AGREE, LEAST_STATEMENT, SEED = 0.6, 0.3, 0.5, 11
+HELD, WINDOW, STEP = 0.75, 32, 8
 #: What a line must have to be judged: any word.
 ANCHOR = "[a-zA-Z0-9]"
 COMMON = frozenset("a all an and any are as at be by for from have he her in is it its may more no not of on or she that the they this to under was we with you your".split())
 NONE = "none"
+MIT_NOTICE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+APACHE_NOTICE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+GPL_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+def _pieces(notice: str, n: int = 24) -> list[str]:
+    """A notice in pieces that fit into a window."""
+    w = notice.split()
+    return [" ".join(w[k : k + n]) for k in range(0, len(w), n) if len(w) - k >= n // 2]
+
+
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "you may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL v3 license.", "Distributed under the terms of the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT license", "SPDX-License-Identifier: MIT", *_pieces(MIT_NOTICE)],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "you may not use this file except in compliance with the Apache License", "SPDX-License-Identifier: Apache-2.0", *_pieces(APACHE_NOTICE)],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GNU GPL v3 license.", "Distributed under the terms of the GPL v3.", "SPDX-License-Identifier: GPL-3.0-or-later", *_pieces(GPL_NOTICE)],
     "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1"],
     "BSD": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-2-Clause"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0 license.", "SPDX-License-Identifier: MPL-2.0"],
@@ -121,7 +136,8 @@ def cues(model: Model) -> list[str]:
 
 
 def _judge(line: Column, model: Model) -> Column:
-    """Struct (family, p, statement) of a paragraph."""
+    """Structs (family, p, statement) of the windows of a paragraph that hold a cue."""
+    wanted = F.array(*[F.lit(w) for w in cues(model)])
     words = F.filter(F.split(F.lower(line), "[^a-z0-9]+", -1), lambda w: w != "")
     vec = lambda v: F.array(*[F.lit(float(x)) for x in v])
     vocabulary, weights = F.array(*[F.lit(g) for g in model.vocabulary]), F.array(*[vec(w) for w in model.weights[:-1]])
@@ -142,13 +158,20 @@ def _judge(line: Column, model: Model) -> Column:
 
     def verdict(w: Column, p: Column) -> Column:
         best = (F.array_position(p, F.array_max(p)) - 1).cast("int")
-        likeness = F.transform(templates[best], lambda t: F.size(F.array_intersect(w, t)) / F.size(F.array_union(w, t)))
+        both = lambda t: F.size(F.array_intersect(w, t))
+        agrees = F.exists(templates[best], lambda t: (both(t) / F.size(F.array_union(w, t)) >= AGREE) | (both(t) / F.size(t) >= HELD))
         statement = 1 - p[len(model.families) - 1]
-        sure = (F.array_max(p) > SURE) & (best < len(model.families) - 2) & (F.array_max(likeness) >= AGREE)
+        sure = (F.array_max(p) > SURE) & (best < len(model.families) - 2) & agrees
         family = F.when(sure, names[best]).when(statement > LEAST_STATEMENT, F.lit("unknown")).otherwise(F.lit(NONE))
         return F.struct(family.alias("family"), F.array_max(p).alias("p"), statement.alias("statement"))
 
-    return let(words, with_words)
+    def windows(w: Column) -> Column:
+        # the last one starts less than STEP before the words that the others leave
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - WINDOW) / STEP), F.lit(0)).cast("int"))
+        parts = F.transform(starts, lambda k: F.slice(w, k * STEP + 1, WINDOW))
+        return F.transform(F.filter(parts, lambda x: F.arrays_overlap(x, wanted)), with_words)
+
+    return let(words, windows)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,16 +182,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         by_letter.setdefault(w[0], []).append(w[1:])
     cue = "(?<![a-z0-9])(?:" + "|".join(f"{a}(?:{'|'.join(ws)})" for a, ws in by_letter.items()) + ")(?![a-z0-9])"
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.lower(x).rlike(cue))
-    found = F.filter(F.transform(lines, lambda x: _judge(x, model)), lambda j: j["family"] != NONE)
-    kind = "array<struct<family:string,p:double,statement:double>>"
+    found = F.filter(F.transform(lines, lambda x: F.filter(_judge(x, model), lambda j: j["family"] != NONE)), lambda js: F.size(js) > 0)
+    kind = "array<array<struct<family:string,p:double,statement:double>>>"
 
     def summary(j: Column) -> Column:
-        named = F.filter(j, lambda x: x["family"] != "unknown")
+        named = F.filter(F.flatten(j), lambda x: x["family"] != "unknown")
+        unknown = F.filter(j, lambda js: F.forall(js, lambda x: x["family"] == "unknown"))
         return F.struct(
             F.size(j).cast("long").alias("n_paragraphs"),
             F.array_join(F.sort_array(F.array_distinct(F.transform(named, lambda x: x["family"]))), ",").alias("families"),
-            (F.size(j) - F.size(named)).cast("long").alias("n_unknown"),
-            F.round(F.array_max(F.transform(j, lambda x: x["p"])), 6).alias("best_p"),
+            F.size(unknown).cast("long").alias("n_unknown"),
+            F.round(F.array_max(F.transform(F.flatten(j), lambda x: x["p"])), 6).alias("best_p"),
         )
 
     judged = found.cast(kind)

@@ -51,3 +51,18 @@ def test_statements_without_the_word_license(spark):
     docs = spark.createDataFrame(list(enumerate([f"some words\n{t}" for t in texts] + plain)), "doc_id long, text string")
     got = [(r.n_paragraphs, r.families) for r in L.license_scan(docs).sort("doc_id").collect()]
     assert got == [(1, f) for f in texts.values()] + [(0, "")] * len(plain)
+
+
+def test_statements_inside_long_paragraphs(spark):
+    prose = "the old man walked along a quiet river and thought about his day while birds sang in trees near town ".split()
+    said = {"Released under the MIT License.": "MIT", L.MIT_NOTICE: "MIT", L.APACHE_NOTICE: "Apache-2.0", L.GPL_NOTICE: "GPL", "All rights reserved.": "proprietary", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY"}
+    rows, want = [], []
+    for t, f in said.items():
+        for before, after in ((0, 0), (33, 41), (2000, 3000)):
+            rows.append(" ".join([(prose * 200)[k] for k in range(before)] + [t] + [(prose * 200)[k] for k in range(after)]))
+            want.append((1, f, 0))
+    rows += [" ".join(prose * 100), f"{rows[4]} {rows[7]}"]
+    want += [(0, "", 0), (1, "Apache-2.0,MIT", 0)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [(r.n_paragraphs, r.families, r.n_unknown) for r in L.license_scan(docs).sort("doc_id").collect()]
+    assert got == want
