@@ -4,7 +4,7 @@ A page's tree is reduced to a skeleton: element labels (tag and first class), wi
 page with the smallest page_id is its host's reference; all other trees of the host are aligned with it by simple tree matching (the
 largest order-preserving match of nodes whose labels agree). For each reference node, all pages together tell how
 many have it, and in how many its own text is the reference's. Constant nodes are template; varying ones are slots.
-The content is the deepest node that holds most of the varying text, not counting slots of
+The content is the deepest node that holds all of the varying text, not counting slots of
 elements that never hold an article (menus, forms, adverts and so on); a host's article or main element is taken as it is. From each page
 the node aligned with the content is read: its blocks, without such elements. Pages whose tree lacks the
 node, or hosts without varying text, use the page's own article or main element, or else its body.
@@ -145,12 +145,12 @@ def text_of(node: Node) -> str:
     return "\n".join(blocks)
 
 
-def skeleton(node: Node) -> tuple[list, list[Node]]:
-    """(nested [label, noise, children], nodes in preorder); alike neighbours without child elements of their own are one."""
-    nodes: list[Node] = []
+def skeleton(node: Node) -> tuple[list, list[list[Node]]]:
+    """(nested [label, noise, children], nodes in preorder, each with all elements of its run); alike neighbours without child elements of their own are one."""
+    nodes: list[list[Node]] = []
 
     def walk(x: Node):
-        nodes.append(x)
+        nodes.append([x])
         out, last = [], None
         for c in x.children:
             if isinstance(c, str) or c.tag not in BLOCKS and c.tag not in NOISE_TAGS:
@@ -158,9 +158,11 @@ def skeleton(node: Node) -> tuple[list, list[Node]]:
             leaf = not any(not isinstance(y, str) and y.tag in BLOCKS for y in c.children)
             key = (c.label, c.noise) if leaf else None
             if key and key == last:
+                alike.append(c)
                 continue
-            last = key
+            last, at = key, len(nodes)
             out.append(walk(c))
+            alike = nodes[at]
         return [x.label, x.noise, out]
 
     return walk(node), nodes
@@ -256,7 +258,7 @@ def page_skeletons(pages: DataFrame) -> DataFrame:
             rows = []
             for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 tree, nodes = skeleton(parse(h or ""))
-                own = [" ".join(_own_text(x).split()) for x in nodes]
+                own = [" ".join(" ".join(map(_own_text, run)).split()) for run in nodes]
                 rows.append((i, host_of(u), json.dumps(tree, separators=(",", ":")), [xxhash.xxh3_64_intdigest(t) >> 1 for t in own], [len(t) for t in own]))
             yield pd.DataFrame(rows, columns=["page_id", "host", "skel", "hashes", "sizes"])
 
@@ -292,7 +294,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def content_node(ref: list, stats: dict[int, tuple[int, int, int]]) -> int:
-    """The deepest node of the reference with most of the varying text; an article or main element if it has one."""
+    """The deepest node of the reference with all of the varying text; an article or main element if it has one."""
     nodes: list[tuple[list, int, int, bool]] = []  # tree, parent, end, under noise
 
     def walk(t, parent, noise):
@@ -316,7 +318,7 @@ def content_node(ref: list, stats: dict[int, tuple[int, int, int]]) -> int:
             return max(best, key=lambda k: (mass[k], -k))
     k = 0
     while True:
-        kids = [c for c, x in enumerate(nodes) if x[1] == k and x[0][2] and mass[c] >= 0.8 * mass[k]]
+        kids = [c for c, x in enumerate(nodes) if x[1] == k and x[0][2] and mass[c] == mass[k]]
         if not kids:
             return k
         k = kids[0]
@@ -342,7 +344,7 @@ def main_text(html: str | None, ref: str | None, content: int) -> str:
         tree, nodes = skeleton(root)
         at = matched(ref, json.dumps(tree, separators=(",", ":"))).get(content)
         if at is not None:
-            text = text_of(nodes[at])
+            text = "\n".join(t for t in map(text_of, nodes[at]) if t)
             if text:
                 return text
     return text_of(_fallback(root))

@@ -48,3 +48,19 @@ def test_simple_tree_matching_brute():
         m = html_main.match_trees(a, b)
         assert len(m) == best(a, b)
         assert sorted(m) == [k for k, _ in sorted(m.items(), key=lambda p: p[1])]
+
+
+def test_nothing_varying_is_left_beside_the_content(spark):
+    long = "a long sentence of this page with many words in it " * 6
+    forms = [
+        lambda i: (f"<h1>Title {i}</h1><div class=body><p>{long}{i}</p><p>Second {i}</p></div>", [f"Title {i}", f"{long}{i}", f"Second {i}"]),
+        lambda i: (f"<div class=intro><p>{long}{i}</p></div><div class=body><p>Short {i}</p><p>{long}two {i}</p><p>End {i}</p></div>", [f"{long}{i}", f"Short {i}", f"{long}two {i}", f"End {i}"]),
+        lambda i: (f"<div class=intro><div><p>{long}{i}</p></div></div><div class=body><div><p>Fixed</p><p>Other {i}</p></div></div>", [f"{long}{i}", "Fixed", f"Other {i}"]),
+    ]
+    rows, want = [], {}
+    for i in range(30):
+        inner, blocks = forms[i % 3](i)
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><body><header>Site</header><nav><p>Menu {i}</p></nav><div class=post>{inner}</div><footer>End</footer></body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
