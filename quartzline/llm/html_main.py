@@ -3,7 +3,8 @@
 A page's tree is reduced to a skeleton: element labels (tag and first class), with runs of alike siblings as one node. The
 page with the smallest page_id is its host's reference; all other trees of the host are aligned with it by simple tree matching (the
 largest order-preserving match of nodes whose labels agree). For each reference node, all pages together tell how
-many have it, and in how many its own text is the reference's. Constant nodes are template; varying ones are slots.
+many have it, and in how many its own text is the reference's. Varying nodes are slots, and choose the content; constant nodes within the content
+are read with it, as if they weren't template.
 The content is the deepest node that holds all of the varying text, not counting slots of
 elements that never hold an article (menus, forms, adverts and so on); a host's article or main element is taken as it is. From each page
 the node aligned with the content is read: its blocks, without such elements. Pages whose tree lacks the
