@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,18 +61,59 @@ def n_words_of(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session without any such setting, as in tests, gets a folder of its own.
+    A session without that setting gets a folder in its warehouse, which is shared as well.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder, so that a lost executor loses no part of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+def saved(df: DataFrame, *over: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and reread: lineage is cut, and a lost executor loses no part of it.
+
+    The shuffle files behind it go once it is written, and so do the tables of ``over``, which nothing needs any more.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    if (made := _made.get()) is not None:
+        made.append(out)
+    forget(*over)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a saved table; all tables that were saved on the way to it are deleted."""
+    on_the_way: list[DataFrame] = []
+    outer = _made.set(on_the_way)
+    try:
+        result = make()
+    finally:
+        _made.reset(outer)
+    out = saved(result)
+    forget(*on_the_way)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these; nothing may read them afterwards."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

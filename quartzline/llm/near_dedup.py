@@ -2,43 +2,43 @@
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets form a class, and only
 each class's smallest id goes on. For ``TREES`` independent trees, documents branch by selected minwise
-tokens: a node splits by one or two coordinates of the sketch, chosen by the node's own hash, so that pairs
-at the threshold are expected to go on together once. Nodes of up to ``SMALL`` documents are compared
-exhaustively by their sketches. In a larger node all documents are first compared with a few pivots; those
-that a pivot resembles take its label, documents with one label aren't compared below it, and a
-node with a single label ends there. If few lack its first label, or at ``DEPTH``, these are compared in blocks with
-all of the node. Otherwise it branches. A pivot's label is a guess from sketches: whatever nodes and labels it kept from being compared is
-compared again once links are confirmed, wherever the confirmed components don't bear it out.
-
-The trees run in two batches. Components that the first batch confirms are labels in the second, whose nodes within one
-component end at once, so large groups of near copies go through a few trees only.
-
-Candidates are confirmed on the full sets of their whole texts. First each document's best candidate is confirmed;
-then, of the rest, those between different components, as the others can't change a component. Within a small node only
-two spanning forests of the candidates are tried at first, and of a block's members the ``FIRST`` likeliest partners in a batch;
-nodes where a candidate fails then give all their candidates that cross components, and members that stay apart from the commonest component of their
-large node, or of their label in a node that branched, with all that their sketches resemble there, are compared on full sets, block by block.
+tokens: the first is a whole minwise hash, the next are one or two coordinates of the sketch, chosen by the node's own hash, so
+that pairs at the threshold are expected to go on together once. A pair at the threshold meets in the first node of a tree with odds 0.75,
+so it is missed by all ten with odds of one in a million.
+
+A node that fits in one task (``NODE`` documents and ``NODE_BYTES`` of sets) is compared there. Sketches come first: all pairs of a small
+node; in others pivots with all, then the branching goes on in memory, until what no pivot resembles is few enough to be compared with all. They mark the documents that resemble any
+other of another component. Only marked documents bring their full sets, in which an inverted index counts exact intersections; a document is no longer looked up once it is in
+the node's largest component, as a link that matters has a side out of it. A node gives a star for each component that confirmed links make of its labels, not all pairs.
+
+A larger node is dealt into chunks that fit, and its ``PIVOTS`` pivots go along to each of them. Then it branches, with the components
+confirmed by then as labels, and so on until no large node is left; a node of a single component ends at once. The trees run in two
+batches, and components that the first confirms are labels in the second, so that large groups of near copies go through few trees.
+Nothing of a group's size is joined onto rows. Each step is a table in the shared folder, deleted once nothing reads it.
 
 Null texts count as empty; a text without words has the empty set and is linked with nothing; one with fewer
-words than a shingle has its whole sequence as the one shingle. Rows with the same id are one document. Rows
+words than a shingle has its whole sequence as the one shingle. A very long text is one set as any other. Rows with the same id are one document; if their
+texts differ, the one with the smallest hash stands for it. Rows
 without an id are never linked: their component is null and they aren't kept. Ties go to the smaller id. An empty table gives an empty result.
+Columns are found by name, exactly first and without regard to case next; all others are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved
+from .common import pick, saved, settled
 from .components import components
 
 SHINGLE, PER_CENT = 5, 75
 BATCHES = ((0, 1, 2), (3, 4, 5, 6, 7, 8, 9))
 TREES = sum(map(len, BATCHES))
-SKETCH, SMALL, DEPTH, PIVOTS, BLOCK, FEW, FIRST, HELD, CHUNK = 96, 48, 8, 4, 128, 256, 16, 512, 4096
+SKETCH, SMALL, PIVOTS, FEW = 96, 48, 4, 4_000_000
+#: What one task compares: documents and bytes of their sets. A very long text may be more by itself.
+NODE, NODE_BYTES = 8192, 24_000_000
 #: Sketches estimate similarity with a deviation under 0.05; candidates may lie three and a half of them below the threshold.
 MAYBE = 0.59
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +92,7 @@ def minwise(sets: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), keys (one for each tree), sk (a byte for each coordinate)."""
+    """doc_id, hash of the text, n_shingles, digest of the set (null if empty), keys (one for each tree), sk (a byte for each coordinate)."""
 
     def run(batches):
         import pyarrow as pa
@@ -109,19 +109,78 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64).tolist(), ((m >> np.uint64(13)) & np.uint64(255)).astype(np.uint8).tobytes()))
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
             cols = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_shingles", "digest", "keys", "sk"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "th", "n_shingles", "digest", "keys", "sk"])
 
-    texts = pick(docs, doc_id=id_col, text=text_col)
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sk binary")
+    texts = pick(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
+    return texts.mapInArrow(run, "doc_id long, th long, n_shingles long, digest binary, keys array<long>, sk binary")
 
 
 def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint8).reshape(len(col), SKETCH)
 
 
-def _likeness(equal: np.ndarray) -> np.ndarray:
-    """Similarity from the share of equal bytes, less those that agree by chance."""
-    return (equal / SKETCH - 1 / 256) / (1 - 1 / 256)
+def _alike(m: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which sketches may be within reach of ``one``: the share of equal bytes, less those that agree by chance."""
+    return ((m == one).sum(axis=1) / SKETCH - 1 / 256) / (1 - 1 / 256) >= MAYBE
+
+
+def _mark(m: np.ndarray, lab: np.ndarray, seed: int) -> np.ndarray:
+    """Which documents of a node resemble one of another label. Only those not marked yet are asked for, so all pairs of a crowd aren't compared."""
+    marked, rng, stack = np.zeros(len(m), bool), np.random.default_rng(seed & (2**63 - 1)), [np.arange(len(m))]
+
+    def ask(at: np.ndarray, x: int) -> None:
+        near = at[_alike(m[at], m[x]) & (lab[at] != lab[x])]
+        if len(near):
+            marked[x] = True
+            marked[near] = True
+
+    while stack:
+        at = stack.pop()
+        if (lab[at] == lab[at[0]]).all():
+            continue
+        if len(at) > SMALL:
+            for x in rng.choice(at, PIVOTS, replace=False):
+                ask(at, x)
+        left = at[~marked[at]]
+        if len(left) * len(at) <= FEW:
+            for x in left:
+                if not marked[x]:
+                    ask(at, x)
+            continue
+        # one coordinate, or two for a third of the nodes: the threshold's 3/4 of pairs that agree, times 4/3
+        for c in rng.choice(SKETCH, 2 if rng.integers(3) == 0 else 1, replace=False):
+            order = at[np.argsort(m[at, c], kind="stable")]
+            kids = np.split(order, np.flatnonzero(np.diff(m[order, c])) + 1)
+            stack.extend(k for k in kids if 1 < len(k) < len(at) and not marked[k].all())
+            if len(kids) == 1:  # all agree on it
+                stack.append(at)
+    return marked
+
+
+def _links(ids: np.ndarray, lab: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The components that exact links give to the labels of one node's documents, as stars: (label, smallest label)."""
+    up, n = {}, len(ids)
+    sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owners = every[order], np.repeat(np.arange(n), sizes)[order]
+    names, counts = np.unique(lab, return_counts=True)
+    weight = dict(zip(names.tolist(), counts.tolist(), strict=True))
+    home = max(weight, key=lambda x: (weight[x], -x))
+    for x in np.argsort(_mix(ids.astype(np.uint64)), kind="stable"):
+        if len(up) and _root(up, int(lab[x])) == home:
+            continue
+        lo, hi = np.searchsorted(every, sets[x]), np.searchsorted(every, sets[x], "right")
+        runs = hi - lo
+        at = np.arange(runs.sum()) + np.repeat(lo - np.cumsum(runs) + runs, runs)
+        both = np.bincount(owners[at], minlength=n)
+        for y in np.unique(lab[100 * both >= PER_CENT * (sizes + len(sets[x]) - both)]).tolist():
+            a, b = sorted((_root(up, int(lab[x])), _root(up, y)))
+            if a != b:  # the smaller label stays
+                up[b] = a
+                weight[a] += weight[b]
+                if weight[a] >= weight[home] or home == b:
+                    home = a
+    return [(x, _root(up, x)) for x in names.tolist() if _root(up, x) != x]
 
 
 def _root(up: dict, x):
@@ -130,335 +189,148 @@ def _root(up: dict, x):
     return x
 
 
-def _leaf_pairs(pdf: pd.DataFrame, every: bool) -> pd.DataFrame:
-    """Candidates of the small nodes of ``pdf`` (sorted by node): two spanning forests by likeness, or all of them."""
-    node, ids, lab, sure, m = *(pdf[c].to_numpy() for c in ("node", "id", "lab", "sure")), _matrix(pdf["sk"])
-    found = []
-    for d in range(1, min(SMALL, len(node))):
-        i = np.flatnonzero(node[d:] == node[:-d])
-        if not len(i):
-            break
-        i = i[((lab[i] != lab[i + d]) | (lab[i] < 0)) & ((sure[i] != sure[i + d]) | (sure[i] < 0))]
-        e = _likeness((m[i] == m[i + d]).sum(axis=1))
-        ok = e >= MAYBE
-        found.append(np.stack([i[ok], i[ok] + d, e[ok]], axis=1))
-    pairs = np.concatenate(found) if found else np.empty((0, 3))
-    i, j, e = pairs[:, 0].astype(int), pairs[:, 1].astype(int), pairs[:, 2]
-    if not every and len(i):
-        keep = np.zeros(len(i), bool)
-        order = np.lexsort((ids[j], ids[i], -e))
-        for _ in range(2):
-            up: dict = {}
-            # labels that only a pivot gave don't stand for links
-            name = lambda k: (node[k], sure[k], -1) if sure[k] >= 0 else (node[k], -1, k)
-            for k in order:
-                if not keep[k]:
-                    a, b = _root(up, name(i[k])), _root(up, name(j[k]))
-                    if a != b:
-                        up[a] = b
-                        keep[k] = True
-        i, j, e = i[keep], j[keep], e[keep]
-    return pd.DataFrame({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j]), "est": e, "node": node[i]})
-
-
-def _compare_leaves(leaves: DataFrame, every: bool = False) -> DataFrame:
-    def run(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            # the last node may go on in the next batch
-            ends = pdf["node"].to_numpy() == pdf["node"].iloc[-1] if len(pdf) else np.zeros(0, bool)
-            held = pdf[ends]
-            if not ends.all():
-                yield _leaf_pairs(pdf[~ends], every)
-        if held is not None and len(held):
-            yield _leaf_pairs(held, every)
-
-    rows = leaves.select("node", "id", "lab", "sure", "sk").repartition("node").sortWithinPartitions("node", "id")
-    return rows.mapInPandas(run, "a long, b long, est double, node long")
-
-
-def _near(big: DataFrame, asked: DataFrame, label: bool, first: int | None = None) -> DataFrame:
-    """Rows of large nodes with those of ``asked`` (node, block, pivots) that they resemble; with ``label`` all rows, and the
-    label from them, else those that resemble any. ``first``: at most that many rows of a batch for one of ``asked``, the likeliest.
-    """
+def _units(batches, *cols: str):
+    """Arrow tables of whole units (node and chunk) with all of ``cols``, from batches sorted by these; and each row's unit number."""
+    import pyarrow as pa
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m, lab, ids = _matrix(pdf["sk"]), pdf["lab"].to_numpy().copy(), pdf["id"].to_numpy()
-            hits, ests = [[] for _ in ids], [[] for _ in ids]
-            pos: dict = {}
-            for k, x in enumerate(zip(pdf["node"], pdf["block"], strict=True)):
-                pos.setdefault(x, []).append(k)
-            for at in map(np.array, pos.values()):
-                ps = sorted(pdf["pivots"].iloc[at[0]], key=lambda p: p["id"])
-                pm, up, own = _matrix([p["sk"] for p in ps]), list(range(len(ps))), m[at]
-                for y in range(len(ps) if label else 0):
-                    like = _likeness((pm[:y] == pm[y]).sum(axis=1))
-                    up[y] = next((up[x] for x in range(y) if like[x] >= MAYBE), y)
-                for y, p in enumerate(ps):
-                    like = _likeness((own == pm[y]).sum(axis=1))
-                    near = np.flatnonzero((like >= MAYBE) & (ids[at] != p["id"]))
-                    if label:
-                        root = ps[up[y]]
-                        lab[at[like >= MAYBE]] = root["lab"] if root["lab"] >= 0 else root["id"]
-                    elif first and len(near) > first:
-                        near = near[np.lexsort((ids[at][near], -like[near]))[:first]]
-                    for k in near:
-                        hits[at[k]].append(p["id"])
-                        ests[at[k]].append(float(like[k]))
-            out = pd.DataFrame({"node": pdf["node"], "id": ids, "sk": pdf["sk"], "lab": lab, "sure": pdf["sure"], "hits": hits, "ests": ests})
-            yield out if label else out[[bool(h) for h in hits]]
-
-    joined = big.join(asked, "node").select("node", "id", "sk", "lab", "sure", "block", "pivots")
-    return joined.mapInPandas(run, "node long, id long, sk binary, lab long, sure long, hits array<long>, ests array<double>")
-
-
-def _hit_links(rows: DataFrame) -> DataFrame:
-    z = rows.select("id", "node", F.explode(F.arrays_zip("hits", "ests")).alias("h"))
-    return z.select(F.greatest("id", "h.hits").alias("a"), F.least("id", "h.hits").alias("b"), F.col("h.ests").alias("est"), "node")
-
-
-def candidates(reps: DataFrame, trees: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links (a, b, est, node) that the sketches of ``reps`` (id, keys, sk, lab) suggest, all small nodes' rows, and those of
-    the large nodes that end, with a node of its own for each label of a large node that branches.
-
-    ``sure`` is the component that ``reps`` came with, ``lab`` that or a pivot's label.
-    """
-    rows = reps.select(F.explode(F.array(*[F.col("keys")[t] for t in trees])).alias("node"), "id", "sk", "lab", F.col("lab").alias("sure"))
-    links, leaves, ends = [], [], None
-    for level in range(DEPTH + 1):
-        marks = [F.xxhash64("id", "node", F.lit(j)) for j in range(PIVOTS)]
-        counts = rows.groupBy("node").agg(F.count("*").alias("n"), *[F.min(h).alias(f"h{j}") for j, h in enumerate(marks)], F.min("lab").alias("l0"), F.max("lab").alias("l1"))
-        rows = saved(rows.join(counts.filter("n > 1 and (l0 <> l1 or l0 < 0)").drop("l0", "l1"), "node"))
-        leaves.append(rows.filter(F.col("n") <= SMALL).select("node", "id", "sk", "lab", "sure"))
-        big = rows.filter(F.col("n") > SMALL)
-        if big.isEmpty():
-            break
-        is_pivot = F.exists(F.array(*[h == F.col(f"h{j}") for j, h in enumerate(marks)]), lambda x: x)
-        pivots = big.filter(is_pivot).groupBy("node").agg(F.collect_list(F.struct("id", "sk", "lab")).alias("pivots")).withColumn("block", F.lit(0).cast("long"))
-        near = saved(_near(big, pivots, label=True))
-        links.append(_hit_links(near))
-        first = near.groupBy("node").agg(F.min(F.when(F.col("lab") >= 0, F.col("lab"))).alias("l"))
-        apart = F.coalesce(F.col("lab") != F.col("l"), F.lit(True))
-        state = near.join(first, "node").groupBy("node").agg(F.min("l").alias("l"), F.sum(apart.cast("long")).alias("apart"))
-        near = near.join(state, "node").drop("hits", "ests")
-        few = F.col("apart") <= (FEW if level < DEPTH else 1 << 62)
-        end = saved(near.filter(few))
-        links.append(_hit_links(_near(end, _blocks(end.filter(apart)), label=False, first=FIRST)))
-        alike = near.filter(~few & (F.col("lab") >= 0)).withColumn("node", F.xxhash64("node", F.lit(98), "lab"))
-        for x in (end, saved(alike)):
-            x = x.select("node", "id", "sk")
-            ends = x if ends is None else ends.unionByName(x)
-        # one coordinate, or two for a third of the nodes: the threshold's 3/4 of pairs that agree, times 4/3
-        c = lambda k: F.pmod(F.xxhash64("node", F.lit(100 + k)), F.lit(SKETCH)).cast("int")
-        child = lambda k: F.xxhash64("node", c(k), F.substring("sk", c(k) + 1, F.lit(1)))
-        both = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(3)) == 0
-        kids = F.when(both & (c(0) != c(1)), F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        rows = near.filter(~few).select(F.explode(kids).alias("node"), "id", "sk", "lab", "sure")
-    all_leaves = leaves[0]
-    for x in leaves[1:]:
-        all_leaves = all_leaves.unionByName(x)
-    out = _compare_leaves(all_leaves)
-    for x in links:
-        out = out.unionByName(x)
-    return out, all_leaves, ends
-
-
-def _blocks(asks: DataFrame) -> DataFrame:
-    """Blocks of about ``BLOCK`` documents of a node (with its ``apart``)."""
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("apart") / BLOCK))
-    return asks.groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("id", "sk")).alias("pivots"))
-
-
-def _apart(ends: DataFrame, comps: DataFrame) -> DataFrame:
-    """``ends`` with their components as labels, and ``home``: the commonest one of the node, the smaller of two.
-
-    A candidate that crosses components has at least one side that isn't at home.
-    """
-    rows = ends.join(comps.select("id", "comp"), "id", "left").select("node", "id", "sk", F.coalesce("comp", "id").alias("lab"))
-    sizes = rows.groupBy("node", "lab").agg(F.count("*").alias("c"))
-    most = F.max(F.struct("c", (-F.col("lab")).alias("less")))
-    home = sizes.groupBy("node").agg((-most["less"]).alias("home"), F.sum("c").alias("n"), (F.sum("c") - most["c"]).alias("away"))
-    return rows.join(home.filter("away > 0"), "node")
-
-
-def _suspects(at: DataFrame) -> DataFrame:
-    """The rows of ``at`` whose sketch resembles one of another component, where one of the two isn't at home; no pairs."""
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("away") / BLOCK))
-    held = at.filter("lab <> home").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("id", "sk", "lab")).alias("pivots"))
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        key = np.stack([t["node"].to_numpy(), t["chunk"].to_numpy().astype(np.int64)])
+        new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        last = int(np.flatnonzero(new)[-1])  # the last unit may go on in the next batch
+        held = t.slice(last).to_batches()
+        if last:
+            yield t.slice(0, last), np.cumsum(new[:last]) - 1
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, np.zeros(t.num_rows, np.int64)
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m, lab = _matrix(pdf["sk"]), pdf["lab"].to_numpy()
-            out, pos = set(), {}
-            for k, x in enumerate(zip(pdf["node"], pdf["block"], strict=True)):
-                pos.setdefault(x, []).append(k)
-            for (node, _), rows in pos.items():
-                at_ = np.array(rows)
-                for p in pdf["pivots"].iloc[rows[0]]:
-                    near = at_[(_likeness((m[at_] == np.frombuffer(p["sk"], np.uint8)).sum(axis=1)) >= MAYBE) & (lab[at_] != p["lab"])]
-                    if len(near):
-                        out.add((node, p["id"]))
-                        out.update((node, i) for i in pdf["id"].to_numpy()[near])
-            yield pd.DataFrame(sorted(out), columns=["node", "id"], dtype="int64")
-
-    seen = at.select("node", "id", "sk", "lab").join(held, "node").mapInPandas(run, "node long, id long").distinct()
-    rows = at.select("node", "id", "lab", "home").join(seen, ["node", "id"])
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum((F.col("lab") != F.col("home")).cast("long")).alias("away"))
-    return rows.join(sizes, "node")
-
-
-def _across(at: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) on full sets that join the components of each node of ``at`` wherever any of its documents reach the threshold.
-
-    The documents that aren't at home are held in blocks of about ``HELD``; chunks of about ``CHUNK`` of the node's documents
-    stream past each block. A block and a chunk give a spanning forest of their components, not all pairs.
-    """
-    n_blocks, n_chunks = (F.ceil(F.col(c) / k).cast("int") for c, k in (("away", HELD), ("n", CHUNK)))
-    block, chunk = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_chunks).cast("int")
-    place = lambda b, c, held: F.struct(b.alias("block"), c.alias("chunk"), F.lit(held).alias("held"))
-    asks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: place(block, c, True))
-    passes = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: place(b, chunk, False))
-    rows = at.select("node", "id", "lab", F.explode(F.when(F.col("lab") != F.col("home"), F.concat(asks, passes)).otherwise(passes)).alias("p"))
 
-    def as_sets(batches):
-        import pyarrow as pa
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "id")
 
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "s"])
+
+def marked(rows: DataFrame) -> DataFrame:
+    """(node, chunk, id, lab) of the rows (node, chunk, id, lab, sk) whose sketch resembles one of another label in their unit."""
 
     def run(batches):
+        for t, unit in _units(batches):
+            m, lab, n = _matrix(t["sk"].to_pylist()), t["lab"].to_numpy(), np.bincount(unit)
+            out = np.zeros(len(unit), bool)
+            small = np.flatnonzero(n[unit] <= SMALL)  # all of these at once: each with the d-th after it
+            for d in range(1, SMALL):
+                i, j = small[:-d], small[d:]
+                same = unit[i] == unit[j]
+                if not same.any():
+                    break
+                same &= lab[i] != lab[j]
+                i, j = i[same], j[same]
+                near = _alike(m[i], m[j])
+                out[i[near]] = True
+                out[j[near]] = True
+            for u in np.flatnonzero(n > SMALL):
+                at = np.flatnonzero(unit == u)
+                out[at] = _mark(m[at], lab[at], t["node"][int(at[0])].as_py())
+            yield from t.select(["node", "chunk", "id", "lab"]).filter(out).to_batches()
+
+    return _dealt(rows.select("node", "chunk", "id", "lab", "sk")).mapInArrow(run, "node long, chunk int, id long, lab long")
+
+
+def confirmed(marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) on the full sets of whole texts that join the labels of each unit of ``marks`` wherever any of its documents reach the threshold."""
+
+    def as_sets(batches):
         import pyarrow as pa
 
-        key, held, index, up = None, [], None, {}
+        last, s = None, b""
         for batch in batches:
-            a, b = [], []
-            for node, blk, chk, is_held, i, lab, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = np.frombuffer(s, np.uint64)
-                if (node, blk, chk) != key:
-                    key, held, index, up = (node, blk, chk), [], None, {}
-                if is_held:
-                    held.append((i, lab, s))
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    every = np.concatenate([x[2] for x in held])
-                    order = np.argsort(every, kind="stable")
-                    owners = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])[order]
-                    index = every[order], owners, np.array([len(x[2]) for x in held])
-                every, owners, sizes = index
-                lo, hi = np.searchsorted(every, s), np.searchsorted(every, s, "right")
-                runs = hi - lo
-                at_ = np.arange(runs.sum()) + np.repeat(lo - np.cumsum(runs) + runs, runs)
-                both = np.bincount(owners[at_], minlength=len(held))
-                for k in np.flatnonzero(100 * both >= PER_CENT * (sizes + len(s) - both)):
-                    x, y = _root(up, lab), _root(up, held[k][1])
-                    if x != y:
-                        up[x] = y
-                        a.append(max(i, held[k][0]))
-                        b.append(min(i, held[k][0]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    ids = at.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(as_sets, "id long, s binary")
-    cols = rows.select("node", "p.block", "p.chunk", "p.held", "id", "lab").join(sets, "id").select("node", "block", "chunk", "held", "id", "lab", "s")
-    dealt = cols.repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk", F.desc("held"), "id")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def confirmed(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """``links`` (a, b and more) with ok: whether the full sets of the two texts (doc_id, text) reach the threshold."""
-    left = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    pairs = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+            out = []
+            for i, t in zip(batch.column(2).to_pylist(), batch.column(4), strict=True):
+                if i != last:
+                    last, s = i, shingles(t.as_py()).tobytes()
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["node", "chunk", "id", "lab", "s"])
 
     def run(batches):
         import pyarrow as pa
 
-        at, held = None, None
-        for batch in batches:
-            a, b, ta, tb = batch.columns
-            ok = []
-            for k in range(batch.num_rows):
-                if at != b[k].as_py():
-                    at, held = b[k].as_py(), shingles(tb[k].as_py())
-                s = shingles(ta[k].as_py())
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                ok.append(100 * both >= PER_CENT * (len(s) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    return pairs.mapInArrow(run, "a long, b long, ok boolean")
-
-
-def _crossing(links: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links whose ends aren't in one component yet."""
-    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*links.columns)
+        for t, unit in _units(batches):
+            ids, lab, s = t["id"].to_numpy(), t["lab"].to_numpy(), t["s"]
+            cuts = [*np.flatnonzero(np.diff(unit, prepend=-1)).tolist(), len(unit)]
+            found = []
+            for x, y in zip(cuts, cuts[1:]):
+                found += _links(ids[x:y], lab[x:y], [np.frombuffer(v, np.uint64) for v in s.slice(x, y - x).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    wanted = marks.select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    whole = marks.join(texts.withColumnRenamed("doc_id", "id"), "id").select("node", "chunk", "id", "lab", "text")
+    return _dealt(whole.mapInArrow(as_sets, "node long, chunk int, id long, lab long, s binary")).mapInArrow(run, "a long, b long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, id, sk, n_shingles, lab) of nodes with several labels, with their chunk and the number of chunks. A node's pivots are in all of them."""
+    marks = [F.xxhash64("id", "node", F.lit(j)) for j in range(PIVOTS)]
+    lowest = [F.min(h).alias(f"h{j}") for j, h in enumerate(marks)]
+    counts = rows.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / NODE), F.ceil(F.sum("n_shingles") * 8 / NODE_BYTES)).cast("int").alias("chunks"), F.min("lab").alias("l0"), F.max("lab").alias("l1"), *lowest)
+    pivot = F.exists(F.array(*[h == F.col(f"h{j}") for j, h in enumerate(marks)]), lambda x: x)
+    own = F.array(F.pmod(F.xxhash64("id", "node"), "chunks").cast("int"))
+    chunk = F.explode(F.when((F.col("chunks") > 1) & pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)).alias("chunk")
+    return rows.join(counts.filter("l0 <> l1"), "node").select("node", chunk, "id", "lab", "sk", "n_shingles", "chunks")
+
+
+def _branched(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """The children of the nodes that had to be dealt into chunks, with the components known by now as labels."""
+    c = lambda k: F.pmod(F.xxhash64("node", F.lit(100 + k)), F.lit(SKETCH)).cast("int")
+    child = lambda k: F.xxhash64("node", c(k), F.substring("sk", c(k) + 1, F.lit(1)))
+    both = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(3)) == 0
+    kids = F.when(both & (c(0) != c(1)), F.array(child(0), child(1))).otherwise(F.array(child(0)))
+    large = placed.filter("chunks > 1").dropDuplicates(["node", "id"]).join(comps, "id", "left")
+    return large.select(F.explode(kids).alias("node"), "id", "sk", "n_shingles", F.coalesce("comp", "id").alias("lab"))
 
 
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Component of each linked representative: (id, comp)."""
-    good, comps = None, None
+    comps = None
     for trees in BATCHES:
-        lab = F.lit(-1).cast("long") if comps is None else F.coalesce("comp", F.lit(-1))
-        labelled = reps if comps is None else reps.join(comps, "id", "left")
-        new = _confirmed_links(docs, labelled.select("id", "keys", "sk", lab.alias("lab")), trees, good)
-        good = new if good is None else good.unionByName(new)
-        comps = components(good)
+        known = reps.withColumn("lab", F.col("id")) if comps is None else reps.join(comps, "id", "left").withColumn("lab", F.coalesce("comp", "id"))
+        rows = known.select(F.explode(F.array(*[F.col("keys")[t] for t in trees])).alias("node"), "id", "sk", "n_shingles", "lab")
+        while True:
+            placed = saved(_placed(rows))
+            links = confirmed(saved(marked(placed)), docs)
+            comps = components(links if comps is None else links.unionByName(comps.toDF("a", "b")))
+            if placed.filter("chunks > 1").isEmpty():
+                break
+            rows = _branched(placed, comps)
     return comps
 
 
-def _confirmed_links(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...], known: DataFrame | None) -> DataFrame:
-    """Confirmed links (a, b) that connect all that the batch's candidates connect."""
-    found, leaves, ends = candidates(reps, trees)
-    found = saved(found)
-    pairs = saved(found.groupBy("a", "b").agg(F.max("est").alias("est")))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that repeat an id are one document; one of its texts stands for it
-    texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    best = pairs.groupBy("a").agg(F.max(F.struct("est", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
-    one = saved(confirmed(best, texts))
-    so_far = lambda x: x if known is None else x.unionByName(known)
-    comps = components(so_far(one.filter("ok").select("a", "b")))
-    rest = _crossing(pairs.select("a", "b").join(one.select("a", "b"), ["a", "b"], "left_anti"), comps)
-    two = saved(confirmed(rest, texts))
-    tried = one.unionByName(two)
-    good = tried.filter("ok").select("a", "b")
-    comps = components(so_far(good))
-    dirty = found.join(tried.filter("not ok").select("a", "b"), ["a", "b"], "left_semi").select("node").distinct()
-    more = _compare_leaves(leaves.join(dirty, "node", "left_semi"), every=True).select("a", "b").distinct()
-    if ends is not None:
-        good = good.unionByName(saved(_across(saved(_suspects(saved(_apart(ends, comps)))), docs)))
-    more = saved(_crossing(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), comps))
-    if more.isEmpty():
-        return good
-    lacking = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    three = saved(confirmed(more, docs.join(lacking, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    return good.unionByName(three.filter("ok").select("a", "b"))
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
+    return settled(lambda: _near_dedup(docs, id_col, text_col))
+
+
+def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     known = saved(sketches(base))
-    classes = known.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    first = known.join(classes, "digest").filter("doc_id = rep").select(F.col("doc_id").alias("id"), "keys", "sk")
-    comps = near_links(base.filter("doc_id is not null"), saved(first.dropDuplicates(["id"])))
-    out = known.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    # one set an id, and one id a set
+    ids = saved(known.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("th", "digest"))["digest"].alias("digest")))
+    classes = saved(ids.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "sk", "n_shingles").dropDuplicates(["id"])
+    comps = near_links(base.filter("doc_id is not null"), saved(reps))
+    of = ids.join(classes, "digest").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
+    out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with the columns of ``docs``."""
+    """One document of each group, with the columns of ``docs``; rows without an id go."""
     names = docs.columns
+    at = [i for i, c in enumerate(names) if c == id_col] or [i for i, c in enumerate(names) if c.lower() == id_col.lower()]
     kept = near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"))
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
-    k = f"__c{names.index(id_col)}"
+    k = f"__c{at[0]}"
     return plain.join(kept.distinct(), plain[k].cast("long") == F.col("__id"), "left_semi").dropDuplicates([k]).toDF(*names)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,26 +56,24 @@ def corpus(seed, n_groups=25, crowd=260):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [2])
-def test_components_brute(spark, seed):
-    rows = corpus(seed)
+def components_of(spark, rows):
     docs = spark.createDataFrame([(i, t, True, 1, 2) for i, t in rows], "doc_id long, text string, kept boolean, Node int, sk int")
     got = near_dedup.near_dedup(docs).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    return {(r.doc_id, r.n_shingles, r.component_id) for r in got}
 
 
-def test_deep_nodes_fall_back_to_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DEPTH", 1)
-    rows = corpus(3, n_groups=5, crowd=150)
-    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
+@pytest.mark.parametrize(("seed", "node", "few"), [(2, 8192, 500), (9, 150, 4_000_000)])
+def test_components_brute(spark, monkeypatch, seed, node, few):
+    """Nodes within one task, which branch in memory; and large nodes, dealt into chunks and branched as tables."""
+    monkeypatch.setattr(near_dedup, "NODE", node)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rows = corpus(seed)
+    assert components_of(spark, rows) == brute(rows)
 
 
-def test_across_joins_what_brute_force_joins(spark, monkeypatch):
-    """Copies around the threshold, every document apart at first: held blocks and chunks miss no component."""
-    monkeypatch.setattr(near_dedup, "HELD", 8)
-    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+def test_one_crowd_around_the_threshold():
+    """Copies of one text around the threshold, every document apart at first: a node misses no component."""
     rng = random.Random(5)
     base = [f"w{k}" for k in range(100)]
     rows = []
@@ -83,14 +82,19 @@ def test_across_joins_what_brute_force_joins(spark, monkeypatch):
         for _ in range(rng.randrange(1, 9)):
             t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(t)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    ends = near_dedup.sketches(docs).select(F.lit(7).cast("long").alias("node"), F.col("doc_id").alias("id"), "sk")
-    none = spark.createDataFrame([], "id long, comp long")
-    at = near_dedup._apart(ends, none)
-    assert {(r.home, r.n, r.away) for r in at.collect()} == {(0, 150, 149)}
-    links = near_dedup._across(near_dedup._suspects(at), docs)
-    comp = {r.id: r.comp for r in components(links).collect()}
-    assert {(i, comp.get(i, i)) for i, _ in rows} == {(i, c) for i, _, c in brute(rows)}
+    assert in_one_node(rows) == {(i, c) for i, _, c in brute(rows)}
+
+
+def in_one_node(rows, lab=None):
+    ids = np.arange(len(rows))
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    links = near_dedup._links(ids, ids if lab is None else lab, sets)
+    assert len(links) == len({a for a, _ in links} | {b for _, b in links}) - len({c for _, _, c in brute(rows)} & {x for p in links for x in p})
+    up: dict = {}
+    for a, b in links:
+        p, q = sorted((near_dedup._root(up, a), near_dedup._root(up, b)))
+        up[q] = p
+    return {(int(i), int(near_dedup._root(up, i))) for i in ids}
 
 
 def test_edges(spark):
@@ -137,16 +141,23 @@ def _family(rng, n=70):
     return texts
 
 
-@pytest.mark.parametrize("few", [256, -1])
-def test_pairs_under_one_pivot_label(spark, monkeypatch, few):
-    """One node, whose documents resemble its pivots without reaching the threshold, while some reach it with each other."""
-    monkeypatch.setattr(near_dedup, "FEW", few)
+def test_pairs_within_a_family(spark, monkeypatch):
+    """Documents that resemble all others without reaching the threshold, while some reach it with each other."""
+    monkeypatch.setattr(near_dedup, "NODE", 60)
     rows = list(enumerate(_family(random.Random(12))))
     want = brute(rows)
     assert len({c for _, _, c in want}) > 40
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one = F.array(F.lit(7).cast("long")), F.lit(-1).cast("long")
-    reps = near_dedup.sketches(docs).select(F.col("doc_id").alias("id"), one[0].alias("keys"), "sk", one[1].alias("lab"))
-    links = near_dedup._confirmed_links(docs, reps, (0,), None)
-    comp = {r.id: r.comp for r in components(links).collect()}
-    assert {(i, comp.get(i, i)) for i, _ in rows} == {(i, c) for i, _, c in want}
+    assert in_one_node(rows) == {(i, c) for i, _, c in want}
+    assert components_of(spark, rows) == want
+
+
+def test_marks_lose_no_pair_within_reach():
+    """In-memory branching may miss a pair in one tree only where no member is marked by another partner; brute force over sketches."""
+    rng = random.Random(4)
+    rows = corpus(rng.random())
+    sets = [x for x in (near_dedup.shingles(t) for _, t in rows) if len(x)]
+    m = np.stack([near_dedup.minwise(x) for x in sets]).astype(np.uint8)
+    lab = np.arange(len(m))
+    want = np.array([(near_dedup._alike(m, m[k]) & (lab != k)).any() for k in lab])
+    assert (near_dedup._mark(m, lab, 3) == want).all()
+    assert not near_dedup._mark(m, np.zeros(len(m), int), 3).any()
