@@ -2,8 +2,8 @@
 
 p(v | u) = d(c(u,v)) c(u,v) / c(u) for pairs seen in training, and weight(u) p(v) for others, evaluated per token: pair
 table first, then word table, then the one class of unknown words. p(v) = d(c(v)) c(v) / N. Counts
-up to ``K`` are discounted by Good and Turing's rule, with Katz's correction; larger ones lose half a count, so every context
-has mass left, and weight(u) shares it exactly: the probabilities of the V words and the unknown class
+up to ``K`` are discounted by Good and Turing's rule, with Katz's correction; larger ones keep theirs, as Katz has it, but in a context without any count
+up to ``K`` each loses half a count. So every context has mass left, and weight(u) shares it exactly: the probabilities of the V words and the unknown class
 sum to 1 after any context. A text's words follow an end token, and one more end token closes it.
 
 Texts become blocks of about ``BLOCK`` tokens: their ids, word hashes and codes, saved once. Count tables are
@@ -15,7 +15,8 @@ all that comes to the driver.
 
 Null texts count as empty (one end token). Every row gives one row, repeated ones too; a null id counts as training
 text. Words are known by 64-bit hashes. An empty table gives an empty result; without training text
-all words are the unknown class, of probability 1.
+all words are the unknown class, of probability 1. A very long text is one row of its block, whole. Columns are found by
+name, exactly first and without regard to case next; all others are left out. Each step is a table in the shared folder, deleted at the end.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved
+from .common import pick, saved, settled
 
-BLOCK, K, FOLDS, HELD_OUT, BUCKETS_A_PARTITION = 2_000_000, 5, 7, 2, 8
+BLOCK, K, FOLDS, HELD_OUT, BUCKETS_A_PARTITION, BUCKETS_A_BLOCK = 2_000_000, 5, 7, 2, 8, 4
 END, NO_ID = 0, np.iinfo(np.int64).min
 ASK = "block long, bucket int, u binary, runs binary, v binary, k binary, cv binary"
 REPLY = "block long, bucket int, kind int, total binary, stats binary, m array<long>"
@@ -135,14 +136,13 @@ class Model:
         self.n, self.v = words[0], words[1]
         self.word_d = discounts(words[2:])
         self.pair_d = discounts(pairs[2:]) if pairs else None
-        kept = sum(self.word_d[r] * r * words[1 + r] for r in range(1, K + 1))
-        large = self.v - sum(words[2 : 2 + K])
-        rest = self.n - sum(r * words[1 + r] for r in range(1, K + 1))
-        self.unknown = 1 - (kept + rest - 0.5 * large) / self.n if self.n else 1.0
+        left = sum((1 - self.word_d[r]) * r * words[1 + r] for r in range(1, K + 1))
+        self.bare = left == 0
+        self.unknown = (left or 0.5 * self.v) / self.n if self.n else 1.0
 
     def word_p(self, c: np.ndarray) -> np.ndarray:
         c = c.astype(np.float64)
-        return np.where(c > 0, discounted(c, self.word_d) / max(1, self.n), self.unknown)
+        return np.where(c > 0, discounted(c, self.word_d, self.bare) / max(1, self.n), self.unknown)
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -158,8 +158,9 @@ def discounts(counts_of_counts: list[int]) -> np.ndarray:
     return d
 
 
-def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.where(c > K, c - 0.5, d[np.minimum(c, K).astype(int)] * c)
+def discounted(c: np.ndarray, d: np.ndarray, bare) -> np.ndarray:
+    """Counts with their discounts; ``bare``: of a context without any count up to ``K``."""
+    return np.where(c > K, c - 0.5 * np.asarray(bare), d[np.minimum(c, K).astype(int)] * c)
 
 
 def _tally(c: np.ndarray) -> list[int]:
@@ -253,7 +254,7 @@ def _sum_pairs(model: Model):
             # only contexts with a pair that training hasn't need their weight; hot ones get it from all their buckets
             own = ui[upos : upos + len(x)]
             lacks = np.logical_or.reduceat(reply == 0, np.cumsum(n) - n) & ~hot[own]
-            mine = stats[own] * lacks[:, None]
+            mine = np.column_stack([stats[own] * lacks[:, None], _is_bare(stats[own])])
             rows.append((block, bucket, 1, _pack(reply.astype(np.uint32)), _pack(mine), None))
             pos, upos = pos + len(reply), upos + len(x)
         rows.append((-1, pdf["bucket"].iloc[0], 1, None, None, _tally(total)))
@@ -264,28 +265,32 @@ def _sum_pairs(model: Model):
     return run
 
 
+def _is_bare(stats: np.ndarray) -> np.ndarray:
+    return (stats[:, :K].sum(axis=1) == 0) & (stats[:, K] > 0)
+
+
 def _scores(model: Model, buckets: int):
     def run(key, blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(blocks.iloc[0])
         c = _word_totals(b, replies[replies["kind"] == 0], buckets)
         got = {k: (t, s) for k, t, s in replies.loc[replies["kind"] == 1, ["bucket", "total", "stats"]].itertuples(index=False)}
         pair, at, _ = b.pairs()
-        total, stats = np.zeros(len(pair), np.int64), np.zeros((len(b.vocab), K + 2))
+        total, stats = np.zeros(len(pair), np.int64), np.zeros((len(b.vocab), K + 3))
         for k, place in _by_bucket(_pair_places(b, c, pair, model, buckets)):
             t, s = got[k]
             total[place] = _open(t, np.uint32)
-            stats[np.unique(pair[place] // len(b.vocab))] += _open(s, np.float64).reshape(-1, K + 2)
+            stats[np.unique(pair[place] // len(b.vocab))] += _open(s, np.float64).reshape(-1, K + 3)
         names, sums = model.hot
         if len(names):
             near = np.minimum(np.searchsorted(names, b.vocab), len(names) - 1)
             mine = names[near] == b.vocab
-            stats[mine] = sums[near[mine]]
+            stats[mine] = np.column_stack([sums, _is_bare(sums)])[near[mine]]
         u, v = pair // len(b.vocab), pair % len(b.vocab)
-        p = model.word_p(c)
+        p, bare = model.word_p(c), stats[:, K + 2] > 0
         with np.errstate(divide="ignore", invalid="ignore"):
-            left = (stats[:, :K] * (1 - model.pair_d[1:]) * np.arange(1, K + 1)).sum(axis=1) + 0.5 * stats[:, K]
+            left = (stats[:, :K] * (1 - model.pair_d[1:]) * np.arange(1, K + 1)).sum(axis=1) + np.where(bare, 0.5 * stats[:, K], 0)
             weight = np.where(c > 0, left / c / (1 - stats[:, K + 1]), 1.0)
-            seen = np.log10(discounted(total.astype(np.float64), model.pair_d) / c[u])
+            seen = np.log10(discounted(total.astype(np.float64), model.pair_d, bare[u]) / c[u])
             log_p = np.where(total > 0, seen, np.log10(weight[u]) + np.log10(p[v]))
         base = np.log10((c + 1) / (model.n + model.v + 1))
         add = lambda x: np.add.reduceat(x, b.starts)
@@ -313,10 +318,15 @@ def _hot_sums(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return settled(lambda: _lm_scores(docs, id_col, text_col))
+
+
+def _lm_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    buckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = saved(text_blocks(texts))
+    # a bucket's share of a block shrinks as the blocks grow in number, so what a bucket holds at once doesn't grow
+    buckets = max(BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS_A_BLOCK * blocks.count())
     words = saved(_word_asks(blocks, buckets).groupBy("bucket").applyInPandas(_sum_words, REPLY))
     word_totals = _totals(words)
     model = Model(word_totals)

@@ -10,6 +10,19 @@ import numpy as np
 from quartzline.llm import katz_lm
 
 
+def good_turing(counts):
+    """Katz's discounts r*/r with the correction that leaves counts above K alone; half a count where that is no discount."""
+    counts, k = list(counts), katz_lm.K
+    n = {r: counts.count(r) for r in range(1, k + 2)}
+    d = {r: 1 - 1 / (2 * r) for r in range(1, k + 1)}
+    if all(n.values()):
+        a = (k + 1) * n[k + 1] / n[1]
+        for r in d:
+            x = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) if a < 1 else 0
+            d[r] = x if 0 < x < 1 else d[r]
+    return d
+
+
 def brute(rows):
     toks = [((t or "").encode().lower().split() + [None]) for _, t in rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, _ in rows]
@@ -20,19 +33,23 @@ def brute(rows):
             for a, b in zip([None, *w], w, strict=False):
                 big[a][b] += 1
     n, v = sum(uni.values()), len(uni)
-    coc = lambda cs: [sum(c == r for c in cs) for r in range(1, katz_lm.K + 2)]
-    d1, d2 = katz_lm.discounts(coc(uni.values())), katz_lm.discounts(coc([c for x in big.values() for c in x.values()]))
-    disc = lambda c, d: c - 0.5 if c > katz_lm.K else d[c] * c
-    unk = 1 - sum(disc(c, d1) for c in uni.values()) / n if n else 1.0
-    p1 = lambda w: disc(uni[w], d1) / n if uni[w] else unk
+    d1, d2 = good_turing(uni.values()), good_turing([c for x in big.values() for c in x.values()])
+
+    def disc(c, d, context):
+        if c <= katz_lm.K:
+            return d[c] * c
+        return c - 0.5 * (min(x for x in context.values() if x) > katz_lm.K)
+
+    unk = 1 - sum(disc(c, d1, uni) for c in uni.values()) / n if n else 1.0
+    p1 = lambda w: disc(uni[w], d1, uni) / n if uni[w] else unk
 
     def p2(a, b):
         if not uni[a]:
             return p1(b)
         if big[a][b]:
-            return disc(big[a][b], d2) / uni[a]
+            return disc(big[a][b], d2, big[a]) / uni[a]
         seen = [x for x, c in big[a].items() if c]
-        return (1 - sum(disc(big[a][x], d2) for x in seen) / uni[a]) / (1 - sum(map(p1, seen))) * p1(b)
+        return (1 - sum(disc(big[a][x], d2, big[a]) for x in seen) / uni[a]) / (1 - sum(map(p1, seen))) * p1(b)
 
     for a in list(uni)[:5] + ["never seen"]:  # the words and the unknown class sum to 1
         assert abs(sum(p2(a, b) for b in [*uni, "unknown"]) - 1) < 1e-9
@@ -45,6 +62,7 @@ def test_scores_brute(spark, monkeypatch):
     vocab = [f"w{k}" for k in range(200)]
     p = 1 / np.arange(1, 201)
     rows = [(i, " ".join(rng.choices(vocab, p, k=rng.randrange(0, 60))) + (" The THE" if i % 3 else " odd%d" % i)) for i in range(150)]
+    rows += [(3000 + i, "always so") for i in range(20)]  # a context whose counts are all large
     rows += [(900, None), (901, ""), (None, "the end"), (5, "again w1 w2")]
     docs = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "doc_id long, text string, held_out boolean, Score int").repartition(3)
     got = sorted(map(tuple, katz_lm.lm_scores(docs).collect()), key=str)
