@@ -48,14 +48,34 @@ def node_id(kind: str, *parts: Column) -> Column:
     return F.concat_ws(":", F.lit(kind), *[F.when(p != "", p) for p in parts])
 
 
+def market_id(x: Column) -> Column:
+    return node_id("market", x)
+
+
+def event_id(x: Column) -> Column:
+    return node_id("event", x)
+
+
+def outcome_id(market: Column, label: Column) -> Column:
+    return F.concat(F.lit("outcome:"), market, F.lit(":"), slug(label))
+
+
+def slugged_id(kind: str, *labels: Column) -> Column:
+    """Ids of teams, competitions, stages, groups, rounds, matches and constraints: ``kind`` and the labels' slugs."""
+    return node_id(kind, *[slug(x) for x in labels])
+
+
 def match_local_id(a: Column, b: Column, date: Column | None = None) -> Column:
+    """``match:a-vs-b`` and the date, if there is one."""
     base = F.concat(slug(a), F.lit("-vs-"), slug(b))
     return node_id("match", base if date is None else F.concat_ws("-", base, date))
 
 
 def json_list(x: Column) -> Column:
-    """JSON text to array<string>; blank, malformed and other JSON give null."""
-    return F.when(x.rlike("(?s)^\\s*\\[.*\\]\\s*$"), F.from_json(x, "array<string>"))
+    """JSON text to array<string>; blank, malformed and other JSON give null, also with anything after the list. A null in it is written ``None``."""
+    whole = F.from_json(F.concat(F.lit('{"v":'), x, F.lit(',"end":1}')), "v array<string>, end int")
+    read = F.when(x.rlike("(?s)^\\s*\\[.*\\]\\s*$") & (whole["end"] == 1), whole["v"])
+    return F.transform(read, lambda e: F.coalesce(e, F.lit("None")))
 
 
 def iso_utc(ts: Column) -> Column:
@@ -76,27 +96,124 @@ def event_teams(title: Column) -> Column:
     return F.when((F.size(sides) == 2) & (F.array_min(F.transform(sides, F.length)) > 0), F.array_sort(sides))
 
 
+def _part(x: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(strip(F.regexp_extract(x, pattern, group)), F.lit(""))
+
+
 def match_title(title: Column) -> Column:
-    """struct(a, b, category) of ``A vs. B[ - category]``."""
-    pattern = "(?i)^\\s*(.+?)\\s+vs\\.?\\s+(.+?)(?:\\s+-\\s+(.+?))?\\s*$"
-    part = lambda i: F.nullif(F.regexp_extract(title, pattern, i), F.lit(""))
-    return F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("category"))
+    """struct(a, b, category) of ``A vs. B[ - category]``; all null if it is no such title."""
+    # Fixed value: the pattern of match titles.
+    pattern = "(?i)^(.+?)\\s+vs\\.\\s+(.+?)(?:\\s+-\\s+(.+))?$"
+    a, b = (_part(strip(title), pattern, i) for i in (1, 2))
+    both = a.isNotNull() & b.isNotNull()
+    return F.struct(F.when(both, a).alias("a"), F.when(both, b).alias("b"), F.when(both, _part(strip(title), pattern, 3)).alias("category"))
 
 
 def group_of_title(title: Column) -> Column:
-    return F.upper(F.nullif(F.regexp_extract(title, "(?i)\\bGroup\\s+([A-L])\\s+Winner\\b", 1), F.lit("")))
+    return F.upper(_part(strip(title), "(?i)^World Cup Group ([A-L]) Winner$"))
 
 
 def elimination_team(title: Column) -> Column:
-    return F.nullif(F.regexp_extract(title, "(?i)^.*?:\\s*(.+?)\\s+Stage of Elimination\\s*$", 1), F.lit(""))
+    return _part(strip(title), "(?i)^World Cup:\\s+(.+?)\\s+Stage of Elimination$")
+
+
+def winner_team(question: Column) -> Column:
+    """The team that a question ``Will T win the ... World Cup?`` asks about."""
+    return _part(question, "^Will (.+?) win the .+ World Cup\\?$")
+
+
+def is_draw(title: Column) -> Column:
+    return F.coalesce(title.rlike("(?i)^Draw\\s*\\("), F.lit(False))
 
 
 def slug_date(x: Column) -> Column:
-    return F.try_to_date(F.nullif(F.regexp_extract(x, "(\\d{4}-\\d{2}-\\d{2})$", 1), F.lit("")), "yyyy-MM-dd")
+    """The first date in a slug, as its text."""
+    return _part(x, "(\\d{4}-\\d{2}-\\d{2})")
+
+
+def slug_codes(x: Column) -> Column:
+    """struct(a, b): the two team codes at the front of a match slug, in lower case."""
+    pattern = "(?i)^fifwc-([a-z]{2,3})-([a-z]{2,3})-"
+    return F.struct(F.lower(_part(x, pattern, 1)).alias("a"), F.lower(_part(x, pattern, 2)).alias("b"))
+
+
+def match_alias(x: Column) -> Column:
+    """The slug of a match without what follows its date; a slug without codes or date stays."""
+    codes = slug_codes(x)
+    return F.coalesce(F.concat(F.lit("fifwc-"), codes["a"], F.lit("-"), codes["b"], F.lit("-"), slug_date(x)), F.nullif(x, F.lit("")))
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a small fixed table, or null."""
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key] if table else F.lit(None).cast("string")
+
+
+def canonical_name(name: Column, aliases: dict[str, str]) -> Column:
+    """The alias table's name for a name, or the name."""
+    return F.coalesce(lookup(aliases, name), name)
+
+
+def code_aliases(code: Column, team: Column, codes: dict[str, str], aliases: dict[str, str]) -> Column:
+    """Aliases that a code gives a team: the code itself; the mapped name and its slug only where the code stands for this very team."""
+    mapped = lookup(codes, F.lower(code))
+    own = slug(canonical_name(mapped, aliases)) == slug(team)
+    return F.when(code.isNull(), F.array().cast("array<string>")).when(own, F.array(code, canonical_name(mapped, aliases), slug(canonical_name(mapped, aliases)))).otherwise(F.array(code))
+
+
+def dated_match(match_id: Column) -> Column:
+    """struct(teams, day) of a match id that ends in a calendar date; both null for others."""
+    pattern = "^(match:.+)-(\\d{4}-\\d{2}-\\d{2})$"
+    day = F.try_to_date(F.nullif(F.regexp_extract(match_id, pattern, 2), F.lit("")), "yyyy-MM-dd")
+    return F.struct(F.when(day.isNotNull(), F.regexp_extract(match_id, pattern, 1)).alias("teams"), day.alias("day"))
+
+
+def more_specific(candidate: Column, current: Column) -> Column:
+    """Whether one match id goes on where another ends, as a dated one does after one without date."""
+    return current.startswith("match:") & candidate.startswith(F.concat(current, F.lit("-")))
+
+
+def near_date(a: Column, b: Column, days: int = 1) -> Column:
+    """Whether two dated match ids are of the same teams, at most ``days`` apart."""
+    x, y = dated_match(a), dated_match(b)
+    return F.coalesce((x["teams"] == y["teams"]) & (F.abs(F.datediff(x["day"], y["day"])) <= days), F.lit(False))
+
+
+def may_bind(existing: Column, candidate: Column) -> Column:
+    """Whether two match ids may be one fixture."""
+    other = ~existing.startswith("match:") | ~candidate.startswith("match:")
+    return other | (existing == candidate) | more_specific(candidate, existing) | more_specific(existing, candidate) | near_date(existing, candidate)
+
+
+def upgrade_target(existing: Column, existing_method: Column, candidate: Column, method: Column) -> Column:
+    """The match id that replaces an existing one, or null: the more specific; near dates go to the official, else to the later."""
+    official = F.lit("official_bracket")
+    later = dated_match(candidate)["day"] >= dated_match(existing)["day"]
+    near = F.when(method == official, candidate).when(existing_method == official, None).when(later, candidate)
+    return F.when(candidate == existing, None).when(more_specific(candidate, existing), candidate).when(near_date(existing, candidate), near)
+
+
+def preferred_method(existing: Column, incoming: Column) -> Column:
+    official, some = F.lit("official_bracket"), lambda x: F.nullif(x, F.lit(""))
+    return F.when((existing == official) | (incoming == official), official).otherwise(F.coalesce(some(existing), some(incoming), F.lit("unknown")))
+
+
+def kickoff_date(x: Column) -> Column:
+    return F.when(F.length(x) >= 10, F.substring(x, 1, 10))
+
+
+def chunk_tokens(n_markets: Column, most: int, each: int = 120, slack: float = 1.5) -> Column:
+    """Output tokens allowed for a chunk: an estimate a market with some slack, up to a limit."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(n_markets * each * slack))).cast("int")
+
+
+def compact_json(*cols: str | Column) -> Column:
+    """One JSON object of the columns, with nulls, without white space."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
 def path_safe(x: Column) -> Column:
-    return x.rlike("^(?!.*__)[A-Za-z0-9._-]+$") & ~x.isin(".", "..")
+    # Fixed value: the pattern of ids that may be file names. \\z, as $ would let a line end pass.
+    return x.rlike("^(?!.*__)[A-Za-z0-9._-]+\\z") & ~x.isin(".", "..")
 
 
 def truncate(x: Column, n: int) -> Column:

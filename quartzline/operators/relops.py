@@ -32,10 +32,21 @@ def pair_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, "pair", how)
 
 
-def merge_nodes(df: DataFrame, key: str = "local_id") -> DataFrame:
-    """Node merge: the last label and type, the largest confidence, united evidence and aliases, the first place."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return df.groupBy(key).agg(F.max_by("label", "seq").alias("label"), F.max_by("type", "seq").alias("type"), F.max("confidence").alias("confidence"), union("evidence").alias("evidence"), union("aliases").alias("aliases"), F.min("seq").alias("seq"))
+def united(df: DataFrame, keys: list[str], lists: list[str]) -> DataFrame:
+    """The sorted distinct elements of each list column, a key. Elements are made distinct before they meet, so a hot key sends each of them once a task."""
+    out = None
+    for c in lists:
+        each = df.select(*keys, F.explode_outer(c).alias("__x")).distinct()
+        one = each.groupBy(*keys).agg(F.array_sort(F.collect_list("__x")).alias(c))
+        out = one if out is None else out.join(one, keys)
+    return out
+
+
+def merge_nodes(df: DataFrame, *keys: str) -> DataFrame:
+    """Node merge by ``keys`` (local_id): the last label and type, the largest confidence, united evidence and aliases, the first place."""
+    names = list(keys) or ["local_id"]
+    plain = df.groupBy(*names).agg(F.max_by("label", "seq").alias("label"), F.max_by("type", "seq").alias("type"), F.max("confidence").alias("confidence"), F.min("seq").alias("seq"))
+    return plain.join(united(df, names, ["evidence", "aliases"]), names)
 
 
 def fold_text(items: Column) -> Column:
