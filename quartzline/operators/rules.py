@@ -77,13 +77,18 @@ def fire(props: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     Each rule is an equi-join on its keys with the predicate on top, so there is no pure theta join. Confidence is 1 and
     the premises are the two propositions' keys; the first emission wins for each (source, target, type).
     """
+    rules = REGISTRY if rules is None else rules
+    if not rules:
+        return fire(props, REGISTRY[:1]).limit(0)
     out = None
-    for r in REGISTRY if rules is None else rules:
+    for place, r in enumerate(rules):
         a, b = (props.select(*r.keys, F.struct(*props.columns).alias(s)) for s in "ab")
         hit = a.join(b, list(r.keys)).filter(F.col("a.id") != F.col("b.id")).filter(r.test(F.col("a"), F.col("b")))
         ends = lambda x, y: F.struct(F.col(f"{x}.id").alias("source"), F.col(f"{y}.id").alias("target"), F.array(f"{x}.key", f"{y}.key").alias("premises"))
         pairs = F.array(ends("a", "b"), *([ends("b", "a")] if r.both_ways else []))
         edges = hit.select(F.explode(pairs).alias("e"), F.array_sort(F.array_union("a.evidence", "b.evidence")).alias("evidence"))
-        edges = edges.select("e.*", "evidence", F.lit(r.edge_type).alias("type"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("derivation_type"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).cast("long").alias("rule_version"))
+        edges = edges.select("e.*", "evidence", F.lit(r.edge_type).alias("type"), F.lit(1.0).alias("confidence"), F.lit("rule").alias("derivation_type"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).cast("long").alias("rule_version"), F.lit(place).alias("__place"))
         out = edges if out is None else out.unionByName(edges)
-    return out.dropDuplicates(["source", "target", "type"])
+    keys = ["source", "target", "type"]
+    rest = [c for c in out.columns if c not in (*keys, "__place")]
+    return out.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("__place", "premises")).alias("r")).select(*keys, "r.*")

@@ -23,11 +23,12 @@ def match_history(rows: DataFrame, fixtures: DataFrame, aliases: dict[str, str])
     """One row for each market and hour: both teams' probabilities, start, end and winner.
 
     ``rows``: as the mart's history rows. ``fixtures``: match_id, home_team, away_team, kickoff_epoch. Teams meet in
-    either order; of an hour's rows the last wins; the result is known once it is finished, resolved or has a winner.
+    either order, and of fixtures of one pair the last listed counts (``seq``, if they have it); of an hour's rows the last wins; the result is known once it is finished, resolved or has a winner.
     """
     teams = F.transform(scalars.event_teams(F.col("event_title")), lambda t: canonical(t, aliases))
     sides = F.array(canonical(F.col("home_team"), aliases), canonical(F.col("away_team"), aliases))
-    fix = fixtures.withColumn("pair", F.array_sort(sides)).groupBy("pair").agg(F.max_by(F.struct("match_id", sides[0].alias("home"), sides[1].alias("away"), "kickoff_epoch"), "match_id").alias("f")).select("pair", "f.*")
+    listed = fixtures if "seq" in fixtures.columns else fixtures.withColumn("seq", F.monotonically_increasing_id())
+    fix = listed.withColumn("pair", F.array_sort(sides)).groupBy("pair").agg(F.max_by(F.struct("match_id", sides[0].alias("home"), sides[1].alias("away"), "kickoff_epoch"), "seq").alias("f")).select("pair", "f.*")
     adv = rows.filter(F.col("sports_market_type") == ADVANCE_TYPE).withColumn("pair", F.array_sort(teams)).filter("pair is not null")
     joined = relops.pair_join(adv, fix)
     hourly = relops.last_wins(joined, ["market_id", "odds_hour_epoch"], ["seq"], ["pair", "match_id", "home", "away", "kickoff_epoch", "close_odds", "primary_outcome_label"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +25,24 @@ def history_rows(mart: DataFrame) -> DataFrame:
     """The history projection with typed nulls for absent columns and only rows that feed an output.
 
     Without the hour, the odds or both routing columns there is nothing to read, and the result is empty. ``seq`` orders rows of one
-    hour: by their place in the file where there is one.
+    hour: by file and place in it where there is one.
     """
     there = set(mart.columns)
-    rows = relops.typed_backfill(mart, HISTORY)
+    placed = mart if "seq" in there else _with_place(mart)
+    rows = relops.typed_backfill(placed, HISTORY | {"seq": dict(placed.dtypes)["seq"]})
     if not {"market_id", "odds_hour_epoch", "close_odds"} <= there:
-        return rows.filter("false").withColumn("seq", F.lit(0).cast("long"))
+        return rows.filter("false")
     title = F.lower(F.trim("event_title"))
     wanted = (F.col("sports_market_type") == ADVANCE_TYPE) | title.isin(*STAGE_TITLES)
-    return rows.filter(F.col("odds_hour_epoch").isNotNull() & F.col("close_odds").isNotNull() & wanted).withColumn("seq", F.monotonically_increasing_id())
+    return rows.filter(F.col("odds_hour_epoch").isNotNull() & F.col("close_odds").isNotNull() & wanted)
+
+
+def _with_place(mart: DataFrame) -> DataFrame:
+    """Adds ``seq``, the row's file and place in it; for rows that are in no file, their place in the plan."""
+    try:
+        return mart.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return mart.withColumn("seq", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def semantic_markets(mart: DataFrame) -> DataFrame:
