@@ -20,11 +20,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from urllib.parse import urlsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, saved
@@ -50,10 +49,14 @@ class Node:
         self.tag, self.label, self.noise, self.children = tag, label, noise, []
 
 
+#: Elements nested deeper go on at this depth, as browsers have it too; their text stays, in its order.
+DEEP = 200
+
+
 def parse(html: str) -> Node:
     """A forgiving tree: children are nodes and strings; unclosed elements end with their parents."""
     root = Node("#", "#", False)
-    stack, at, n, lower = [root], 0, len(html), None
+    stack, at, n, lower, flat = [root], 0, len(html), None, {}
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
@@ -66,6 +69,10 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if flat.get(tag):
+                flat[tag] -= 1
+                stack[-1].children.append(Node(tag, tag, False))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     # an inline end tag doesn't close the blocks around it
@@ -111,7 +118,10 @@ def parse(html: str) -> Node:
             if end < 0:
                 break
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEP or noise:
+                stack.append(node)
+            else:
+                flat[tag] = flat.get(tag, 0) + 1
     return root
 
 
@@ -233,11 +243,9 @@ def matched(a: str, b: str) -> dict[int, int]:
     return _matches[a, b]
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, whatever characters it has; empty if there is none. Wrappers and pages meet by this alone."""
+    return F.lower(F.coalesce(F.regexp_extract(url, "^\\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)", 1), F.lit("")))
 
 
 def _own_text(node: Node) -> str:
@@ -257,13 +265,13 @@ def page_skeletons(pages: DataFrame) -> DataFrame:
     def run(pdfs):
         for pdf in pdfs:
             rows = []
-            for i, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+            for i, host, h in zip(pdf["page_id"], pdf["host"], pdf["html"], strict=True):
                 tree, nodes = skeleton(parse(h or ""))
                 own = [" ".join(" ".join(map(_own_text, run)).split()) for run in nodes]
-                rows.append((i, host_of(u), json.dumps(tree, separators=(",", ":")), [xxhash.xxh3_64_intdigest(t) >> 1 for t in own], [len(t) for t in own]))
+                rows.append((i, host, json.dumps(tree, separators=(",", ":")), [xxhash.xxh3_64_intdigest(t) >> 1 for t in own], [len(t) for t in own]))
             yield pd.DataFrame(rows, columns=["page_id", "host", "skel", "hashes", "sizes"])
 
-    return pages.mapInPandas(run, "page_id long, host string, skel string, hashes array<long>, sizes array<int>")
+    return pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "page_id long, host string, skel string, hashes array<long>, sizes array<int>")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -355,7 +363,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row for each page: page_id, url, text, n_chars."""
     plain = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rules = wrappers(plain.filter("page_id is not null"))
-    host = F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")))
+    host = host_of(F.col("url"))
     small = (rules.agg(F.sum(F.length("skel") + F.length("host") + 64)).first()[0] or 0) <= SMALL_BYTES
     keyed = plain.join(F.broadcast(rules) if small else rules, host == F.col("host"), "left").select("page_id", "url", "html", "skel", F.coalesce("content", F.lit(-1)).alias("content"))
 

@@ -240,8 +240,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     sure = labels.filter(fold & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y1")).filter("y = y1")
     n = {r.y: r.n for r in sure.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [sure.filter(F.col("y") == y).select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted({r.doc_id: (r.doc_id, r.text, r.y) for r in sorted(rows, key=str)}.values(), key=lambda r: zlib.crc32(b"half%d" % r[0]))
+    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
+    rows = sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: zlib.crc32(b"half%d" % r[0]))
     return fit([(t, y) for _, t, y in rows], n.get(1, 0) / sum(n.values()) if n else 0.5)
 
 

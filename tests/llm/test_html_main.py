@@ -64,3 +64,15 @@ def test_nothing_varying_is_left_beside_the_content(spark):
         want[i] = "\n".join(blocks)
     got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_deep_nesting_and_odd_hosts(spark):
+    deep = "<div>" * 5000 + "<p>deep {i}</p>" + "</div>" * 5000 + "<p>after {i}</p>"
+    spans = "<p>" + "<b>" * 3000 + "bold {i}" + "</b>" * 3000 + " plain"
+    rows, want = [], {}
+    for i, (url, html, text) in enumerate([("http://my_site.com/a", deep, "deep {i}\nafter {i}"), ("http://h.com/a b|c", deep, "deep {i}\nafter {i}"), ("http://u@h.com:80/x", spans, "bold {i} plain")] * 3):
+        rows.append((i, url, html.replace("{i}", str(i))))
+        want[i] = text.replace("{i}", str(i))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.extract_main(pages).collect()} == want
+    assert {r[0] for r in pages.select(html_main.host_of(pages.url)).collect()} == {"my_site.com", "h.com"}

@@ -187,3 +187,13 @@ def test_pareto_sample_has_its_inclusion_odds(spark):
             hits[r.doc_id] += r.copies
     # b is due half as many words as a's cap leaves: 1.5 * 4000 - 2 * 2000 = 2000 documents, one copy each
     assert sum(hits.values()) == 6 * 2000
+
+
+def test_larger_documents_are_likelier(spark):
+    """Several sources that are alike stand for several draws: inclusion goes with the logarithm of the size, and words meet the target."""
+    sizes = [4] * 100 + [64] * 100
+    docs = spark.createDataFrame([(s * 1000 + k, "w " * n, "en", f"s{s:03d}", 1) for s in range(15) for k, n in enumerate(sizes)], SCHEMA)
+    got = mixing.mix_sources(docs, weights=(1,), share=0.3).collect()
+    hit = {n: sum(r.copies for r in got if r.size == n) / 1500 for n in (4, 64)}
+    assert 2.2 < hit[64] / hit[4] < 3.0  # log 65 / log 5 = 2.59
+    assert abs(sum(r.taken for r in got) / (15 * 6800) - 0.3) < 0.01
