@@ -126,10 +126,14 @@ def chunk_fold(df: DataFrame, key: str, order: str, size: str, budget: int, most
     return packed.select(key, F.col("c.o").alias(order), F.col("c.chunk").alias("chunk"))
 
 
+def f1_of(both: Column, a: Column, b: Column) -> Column:
+    """F1 from the sizes of two sets and of what they share; two empty ones agree, one alone doesn't."""
+    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(both * 2.0 / (a + b))
+
+
 def set_f1(a: Column, b: Column) -> Column:
-    """F1 of two arrays as sets; two empty ones agree, one alone doesn't."""
-    both, na, nb = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(both * 2.0 / (na + nb))
+    """F1 of two arrays as sets."""
+    return f1_of(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
 
 
 def best_match(queries: DataFrame, pool: DataFrame, score, block: list[str], k: int = 1, least: float | None = None) -> DataFrame:

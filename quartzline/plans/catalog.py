@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzline.functions import scalars
-from quartzline.operators import graph, relops
+from quartzline.operators import graph, relops, rules
+from quartzline.plans import inference, resolution
+from quartzline.sources import artifacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +41,8 @@ FROM events GROUP BY 1, 2
 def q_series_lastwins(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     hour = (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600) * 3600).cast("long")
-    return events.groupBy("user_id", hour.alias("hour_epoch")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    rows = events.select("user_id", hour.alias("hour_epoch"), "ts", "event_id", F.col("value").alias("last_value"))
+    return relops.last_wins(rows, ["user_id", "hour_epoch"], ["ts", "event_id"], ["last_value"])
 
 
 def epoch(c: str):
@@ -108,8 +111,7 @@ def q_stage_dedupe(spark, sf_dir):
 WITH o AS (SELECT s.s_suppkey, least(a.n_name, b.n_name) AS x, greatest(a.n_name, b.n_name) AS y FROM supplier s
            JOIN nation a ON a.n_nationkey = s.s_nationkey JOIN nation b ON b.n_nationkey = s.s_suppkey % 25),
      c AS (SELECT least(a.n_name, b.n_name) AS x, greatest(a.n_name, b.n_name) AS y, count(*) AS customers FROM customer
-           JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = c_custkey % 25
-           WHERE c_custkey % 3 = 0 GROUP BY 1, 2)
+           JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = c_custkey % 25 GROUP BY 1, 2)
 SELECT s_suppkey, x || '|' || y AS pair_key, customers FROM o LEFT JOIN c USING (x, y)
 """
 )
@@ -118,7 +120,7 @@ def q_pair_join(spark, sf_dir):
     one, two = nation.select(F.col("n_nationkey").alias("k1"), F.col("n_name").alias("a")), nation.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("b"))
     pair = relops.unordered_pair(F.col("a"), F.col("b")).alias("pair")
     sup = table(spark, sf_dir, "supplier").join(one, F.col("s_nationkey") == F.col("k1")).join(two, F.col("s_suppkey") % 25 == F.col("k2")).select("s_suppkey", pair)
-    cus = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").join(one, F.col("c_nationkey") == F.col("k1")).join(two, F.col("c_custkey") % 25 == F.col("k2")).groupBy(pair).agg(F.count("*").alias("customers"))
+    cus = table(spark, sf_dir, "customer").join(one, F.col("c_nationkey") == F.col("k1")).join(two, F.col("c_custkey") % 25 == F.col("k2")).groupBy(pair).agg(F.count("*").alias("customers"))
     return relops.pair_join(sup, cus, "left").select("s_suppkey", F.array_join("pair", "|").alias("pair_key"), "customers")
 
 
@@ -132,9 +134,16 @@ def q_router_both(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.explode(routes).alias("route"), "event_id")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query(
+    """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type <> 'error' THEN event_type || '|None|' || json_extract_string(props, '$.k') END AS items FROM events
+"""
+)
 def q_json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Lists that hold a null, and for errors one with something after it, which is no list."""
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('["'), "event_type", F.lit('", null, '), k, F.lit("]"), F.when(F.col("event_type") == "error", ' x ["y"]').otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", k.cast("long").alias("k"), F.array_join(scalars.json_list(text), "|").alias("items"))
 
 
 @query(
@@ -148,11 +157,11 @@ def q_slug(spark, sf_dir):
 
 @query(
     r"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, '.', 1))), '[ß]', '-', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[ß]', '-', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents
 """
 )
 def q_slug_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.slug(F.split("text", "\\.", 2)[0]).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -292,9 +301,15 @@ SELECT a.team, a.comp, a.rank AS rank_a, b.rank AS rank_b FROM p a JOIN p b ON a
 """
 )
 def q_rule_pairs(spark, sf_dir):
-    props = table(spark, sf_dir, "orders").select(F.concat(F.lit("p:"), "o_custkey", F.lit(":"), "o_orderstatus", F.lit(":"), F.substring("o_orderpriority", 1, 1)).alias("id"), F.col("o_custkey").cast("string").alias("team"), F.col("o_orderstatus").alias("comp"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank")).distinct()
-    a, b = (props.select(*[F.col(c).alias(f"{c}_{s}") if c in ("id", "rank") else F.col(c) for c in props.columns]) for s in "ab")
-    return a.join(b, ["team", "comp"]).filter("rank_a > rank_b").select(F.col("team").cast("long").alias("team"), "comp", "rank_a", "rank_b")
+    none, rank = F.lit("").alias, F.substring("o_orderpriority", 1, 1)
+    props = table(spark, sf_dir, "orders").select(
+        F.concat_ws(":", "o_custkey", "o_orderstatus", rank).alias("id"), F.concat_ws("-", rank, "o_custkey").alias("key"), F.lit("rank").alias("predicate"), F.lit(True).alias("polarity"),
+        F.col("o_custkey").cast("string").alias("team"), F.col("o_orderstatus").alias("competition"), rank.alias("stage"), none("match"), F.array(rank).alias("evidence"),
+    ).distinct()
+    higher = rules.Rule("rank", "IMPLIES", rules.SAME, lambda a, b: a["stage"] > b["stage"])
+    part = lambda c, i: F.split(c, ":")[i]
+    fired = rules.fire(props, [higher])
+    return fired.select(part("source", 0).cast("long").alias("team"), part("source", 1).alias("comp"), part("source", 2).cast("int").alias("rank_a"), part("target", 2).cast("int").alias("rank_b"))
 
 
 @query(
@@ -332,15 +347,14 @@ def q_cycle_peel(spark, sf_dir):
 @query(
     """
 WITH n AS (SELECT DISTINCT p_name FROM part), s AS (SELECT a.p_name AS name, b.p_name AS best, levenshtein(a.p_name, b.p_name) AS d
-  FROM n a JOIN n b ON a.p_name <> b.p_name AND substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1))
+  FROM n a JOIN n b ON a.p_name <> b.p_name)
 SELECT name, best, CAST(d AS BIGINT) AS distance FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, best) = 1
 """
 )
 def q_fuzzy_top1_levenshtein(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    q = names.select(F.col("name").alias("query_id"), F.substring("name", 1, 1).alias("block"))
-    pool = names.select(F.col("name").alias("pool_seq"), F.substring("name", 1, 1).alias("block"))
-    out = relops.best_match(q, pool, F.when(F.col("query_id") != F.col("pool_seq"), -F.levenshtein("query_id", "pool_seq")), ["block"], least=-1000)
+    q, pool = names.select(F.col("name").alias("query_id")), names.select(F.col("name").alias("pool_seq"))
+    out = relops.best_match(q, pool, F.when(F.col("query_id") != F.col("pool_seq"), -F.levenshtein("query_id", "pool_seq")), [], least=-1000)
     return out.select(F.col("query_id").alias("name"), F.col("pool_seq").alias("best"), (-F.col("score")).cast("long").alias("distance"))
 
 
@@ -385,8 +399,9 @@ SELECT source, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) =
 )
 def q_set_f1(spark, sf_dir):
     both = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    sets = both.groupBy("source").agg(F.collect_list(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("a"), F.collect_list(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("b"))
-    return sets.select("source", F.round(relops.set_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+    a, b = F.col("quality") == 0, F.col("toxic") == 1
+    n = both.groupBy("source").agg(F.count_if(a & b).alias("both"), F.count_if(a).alias("a"), F.count_if(b).alias("b"))
+    return n.select("source", F.round(relops.f1_of(F.col("both"), F.col("a"), F.col("b")), 6).alias("f1"))
 
 
 @query("SELECT DISTINCT 'left' AS side, c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL SELECT DISTINCT 'right', s_nationkey FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer)")
@@ -405,11 +420,7 @@ def q_replace_topology(spark, sf_dir):
 @query("SELECT split, CAST(n AS BIGINT) AS n FROM (SELECT 'valid' AS split, greatest(1, floor(count(*) * 0.1)) AS n FROM labels UNION ALL SELECT 'train', count(*) - greatest(1, floor(count(*) * 0.1)) FROM labels)")
 def q_split_counts(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id")
-    n = labels.count()
-    held = min(max(1, int(n * 0.1)), n - 1)
-    valid = labels.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(held).withColumn("split", F.lit("valid"))
-    train = labels.join(valid.select("doc_id"), "doc_id", "left_anti").withColumn("split", F.lit("train"))
-    return valid.unionByName(train).groupBy("split").agg(F.count("*").alias("n"))
+    return artifacts.split_rows(labels, "doc_id", 0.1, 7).groupBy(F.when(F.col("valid"), "valid").otherwise("train").alias("split")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT r_regionkey, r_name, CAST(NULL AS BIGINT) AS r_population FROM region")
@@ -439,3 +450,77 @@ def q_truncate_tokens(spark, sf_dir):
 def q_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return relops.upsert(old, old.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.lit(-1.0)), "c_custkey")
+
+
+TURNS = "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS t2, min(turn) OVER (PARTITION BY conv_id) AS t0, max(turn) OVER (PARTITION BY conv_id) AS t9 FROM conversations"
+
+
+def turn_edges(spark, sf_dir):
+    """Each turn to the next, and the last back to the first in every fifth conversation of several turns."""
+    node = lambda t: F.concat_ws(":", "conv_id", t)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    chain = turns.withColumn("next", F.lead("turn").over(w)).filter("next is not null").select("conv_id", node("turn").alias("src"), node("next").alias("dst"))
+    ends = turns.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b")).filter("conv_id % 5 = 0 and a < b")
+    return chain.unionByName(ends.select("conv_id", node("b").alias("src"), node("a").alias("dst")))
+
+
+@query(
+    f"""
+WITH t AS ({TURNS}), e AS (SELECT conv_id, turn AS a, t2 AS b FROM t WHERE t2 IS NOT NULL UNION ALL SELECT DISTINCT conv_id, t9, t0 FROM t WHERE conv_id % 5 = 0 AND t0 < t9)
+SELECT conv_id || ':' || a AS src, conv_id || ':' || b AS dst, CASE WHEN conv_id % 5 = 0 THEN 'progression_cycle' END AS reason FROM e
+"""
+)
+def q_cycle_reject(spark, sf_dir):
+    return graph.reject_cycles(turn_edges(spark, sf_dir).drop("conv_id"))
+
+
+@query(f"WITH t AS ({TURNS}) SELECT conv_id || ':' || turn AS id, conv_id || ':' || t0 AS comp FROM t WHERE t0 < t9")
+def q_components(spark, sf_dir):
+    """Turn numbers have one digit, so the smallest text is the first turn."""
+    return graph.components(turn_edges(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query(
+    """
+WITH o AS (SELECT 'match:c' || o_custkey || '-' || strftime(o_orderdate, '%Y-%m-%d') AS local_id, o_custkey, CAST(o_orderdate AS DATE) AS day, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS official FROM orders GROUP BY 1, 2, 3),
+     g AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) <= 1 THEN 0 ELSE 1 END AS starts FROM o),
+     i AS (SELECT *, sum(starts) OVER (PARTITION BY o_custkey ORDER BY day) AS island FROM g)
+SELECT local_id, arg_max(local_id, (official, day)) OVER (PARTITION BY o_custkey, island) AS entity FROM i
+"""
+)
+def q_match_fixtures(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    local = F.concat(F.lit("match:c"), F.col("o_custkey").cast("string"), F.lit("-"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return resolution.match_fixtures(orders.select(local.alias("local_id"), F.when(F.col("o_orderstatus") == "P", "official_bracket").otherwise("x").alias("method")))
+
+
+@query(
+    """
+WITH l AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS a, list_distinct(list(l_linestatus || 'X')) AS b FROM lineitem GROUP BY 1)
+SELECT round(avg(CAST(list_contains(a, 'N') AS INTEGER)), 4) AS has_n, count(*) AS n FROM l
+"""
+)
+def q_flag_share(spark, sf_dir):
+    flags = relops.united(table(spark, sf_dir, "lineitem").select("l_orderkey", F.array("l_returnflag").alias("flags")), ["l_orderkey"], ["flags"])
+    return flags.agg(F.round(F.avg(F.array_contains("flags", "N").cast("int")), 4).alias("has_n"), F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS event_id, count(*) AS n FROM orders GROUP BY 1 ORDER BY abs(count(*) - 4), event_id LIMIT 25")
+def q_events_of_size(spark, sf_dir):
+    return inference.events_of_size(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("event_id")), 25)
+
+
+@query(
+    """
+WITH e AS (SELECT user_id, list(DISTINCT event_type) FILTER (WHERE value > 50) AS a, list(DISTINCT event_type) FILTER (WHERE value <= 90) AS b FROM events GROUP BY 1),
+     s AS (SELECT coalesce(len(a), 0) AS na, coalesce(len(b), 0) AS nb, coalesce(len(list_intersect(a, b)), 0) AS m FROM e)
+SELECT round(avg(CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE m / nb END), 4) AS precision,
+       round(avg(CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE m / na END), 4) AS recall,
+       round(avg(CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0 ELSE 2.0 * m / (na + nb) END), 4) AS f1 FROM s
+"""
+)
+def q_mean_scores(spark, sf_dir):
+    kinds = lambda c: F.collect_set(F.when(c, F.col("event_type")))
+    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(kinds(F.col("value") > 50).alias("expected"), kinds(F.col("value") <= 90).alias("got"))
+    return inference.scores(sets)
