@@ -1,18 +1,20 @@
 """A corpus from raw documents: rules, exact and near dedup, the mix, and its tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
-next stage's docs. All but the last return the columns of ``documents``. The last gives one row for each row of the
+next stage's docs; the one before is deleted then. All but the last return the columns of ``documents``. The last gives one row for each row of the
 mix: a document taken twice is there twice.
+
+Null texts fail the rules; rows without an id go with the near copies; ties and repeated rows are the stages' own: the largest id
+of exact copies stays, the smallest of near ones, one row an id. An empty table gives an empty result, very long texts go through whole, and extra columns stay.
+Names that differ in case alone need spark.sql.caseSensitive, as in any Parquet table that Spark writes.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quartzline.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
-from quartzline.llm.common import shared_folder, table
+from quartzline.llm.common import saved, table
 from quartzline.llm.registry import byte_bpe_50k
 
 
@@ -54,7 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = saved(out, docs)
     return docs
