@@ -9,7 +9,8 @@ sum to 1 after any context. A text's words follow an end token, and one more end
 Texts become blocks of about ``BLOCK`` tokens: their ids, word hashes and codes, saved once. Count tables are
 partitioned into buckets by a hash. Each block sends a bucket its distinct keys with its own training counts, packed
 as arrays; the bucket sums all blocks' counts and answers with the totals in the order asked. So a pair that
-is frequent costs one entry a block. Pairs are put together by context; contexts with more than a fair share
+is frequent costs one entry a block. A word's bucket also numbers it, densely, so pairs travel as 32-bit numbers (64-bit ones where
+a vocabulary needs them). Pairs are put together by context; contexts with more than a fair share
 of tokens are dealt over more buckets. There are fewer such contexts than buckets; their sums and the counts of counts are
 all that comes to the driver.
 
@@ -133,6 +134,7 @@ class Model:
 
     def __init__(self, words: list[int], pairs: list[int] | None = None, hot: tuple[np.ndarray, np.ndarray] | None = None):
         self.hot = hot
+        self.number = np.uint64
         self.n, self.v = words[0], words[1]
         self.word_d = discounts(words[2:])
         self.pair_d = discounts(pairs[2:]) if pairs else None
@@ -183,18 +185,20 @@ def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
     words, counts = [np.frombuffer(x, np.uint64) for x in pdf["u"]], [_open(x, np.uint32) for x in pdf["k"]]
     _, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-    replies = np.split(total[at], np.cumsum([len(x) for x in words])[:-1])
-    rows = [(b, k, 0, _pack(r.astype(np.uint64)), None, None) for b, k, r in zip(pdf["block"], pdf["bucket"], replies, strict=True)]
-    rows.append((-1, pdf["bucket"].iloc[0], 0, None, None, _tally(total)))
+    cuts = np.cumsum([len(x) for x in words])[:-1]
+    rows = [(b, k, 0, _pack(r.astype(np.uint64)), _pack(n.astype(np.uint32)), None) for b, k, r, n in zip(pdf["block"], pdf["bucket"], np.split(total[at], cuts), np.split(at, cuts), strict=True)]
+    rows.append((-1, pdf["bucket"].iloc[0], 0, None, None, [*_tally(total), len(total)]))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in REPLY.split(", ")])
 
 
-def _word_totals(b: Block, replies: pd.DataFrame, buckets: int) -> np.ndarray:
-    got = {k: _open(t, np.uint64) for k, t in zip(replies["bucket"], replies["total"], strict=True)}
-    out = np.zeros(len(b.vocab), np.int64)
+def _word_totals(b: Block, replies: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and numbers of a block's words; a number is the place in the word's bucket, and the bucket."""
+    got = {k: (_open(t, np.uint64), _open(n, np.uint32)) for k, t, n in zip(replies["bucket"], replies["total"], replies["stats"], strict=True)}
+    out, number = np.zeros(len(b.vocab), np.int64), np.zeros(len(b.vocab), np.uint64)
     for k, at in _by_bucket(_mixed(b.vocab) % np.uint64(buckets)):
-        out[at] = got[k]
-    return out
+        out[at], place = got[k]
+        number[at] = place.astype(np.uint64) * np.uint64(buckets) + np.uint64(k)
+    return out, number
 
 
 def _is_hot(c: np.ndarray, model: Model, buckets: int) -> np.ndarray:
@@ -213,13 +217,14 @@ def _pair_places(b: Block, c: np.ndarray, key: np.ndarray, model: Model, buckets
 def _pair_asks(model: Model, buckets: int):
     def run(key, blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(blocks.iloc[0])
-        c = _word_totals(b, replies, buckets)
+        c, number = _word_totals(b, replies, buckets)
+        number = number.astype(model.number)
         pair, _, count = b.pairs()
         rows = []
         for k, at in _by_bucket(_pair_places(b, c, pair, model, buckets)):
             u, runs = np.unique(pair[at] // len(b.vocab), return_counts=True)  # sorted already, as the pairs are
             v = pair[at] % len(b.vocab)
-            rows.append((b.block, k, b.vocab[u].tobytes(), _pack((runs * 2 + _is_hot(c[u], model, buckets)).astype(np.uint32)), b.vocab[v].tobytes(), _pack(count[at]), _pack(c[v].astype(np.uint32))))
+            rows.append((b.block, k, _pack(number[u]), _pack((runs * 2 + _is_hot(c[u], model, buckets)).astype(np.uint32)), _pack(number[v]), _pack(count[at]), _pack(c[v].astype(np.uint32))))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in ASK.split(", ")])
 
     return run
@@ -227,14 +232,14 @@ def _pair_asks(model: Model, buckets: int):
 
 def _sum_pairs(model: Model):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = [np.frombuffer(x, np.uint64) for x in pdf["u"]]
+        us = [_open(x, model.number) for x in pdf["u"]]
         runs = [_open(x, np.uint32).astype(np.int64) for x in pdf["runs"]]
         names, ui = np.unique(np.concatenate(us), return_inverse=True)
         hot = np.zeros(len(names), bool)
         hot[ui[np.concatenate(runs) % 2 == 1]] = True
         runs = [x // 2 for x in runs]
         u = np.repeat(ui, np.concatenate(runs))
-        v = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["v"]])
+        v = np.concatenate([_open(x, model.number) for x in pdf["v"]])
         k, cv = (np.concatenate([_open(x, np.uint32) for x in pdf[c]]) for c in ("k", "cv"))
         order = np.lexsort((v, u))
         new = np.ones(len(order), bool)
@@ -259,7 +264,7 @@ def _sum_pairs(model: Model):
             pos, upos = pos + len(reply), upos + len(x)
         rows.append((-1, pdf["bucket"].iloc[0], 1, None, None, _tally(total)))
         if hot.any():
-            rows.append((-2, pdf["bucket"].iloc[0], 1, _pack(names[hot]), _pack(stats[hot]), None))
+            rows.append((-2, pdf["bucket"].iloc[0], 1, _pack(names[hot].astype(np.uint64)), _pack(stats[hot]), None))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in REPLY.split(", ")])
 
     return run
@@ -272,7 +277,7 @@ def _is_bare(stats: np.ndarray) -> np.ndarray:
 def _scores(model: Model, buckets: int):
     def run(key, blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         b = Block(blocks.iloc[0])
-        c = _word_totals(b, replies[replies["kind"] == 0], buckets)
+        c, number = _word_totals(b, replies[replies["kind"] == 0], buckets)
         got = {k: (t, s) for k, t, s in replies.loc[replies["kind"] == 1, ["bucket", "total", "stats"]].itertuples(index=False)}
         pair, at, _ = b.pairs()
         total, stats = np.zeros(len(pair), np.int64), np.zeros((len(b.vocab), K + 3))
@@ -282,8 +287,8 @@ def _scores(model: Model, buckets: int):
             stats[np.unique(pair[place] // len(b.vocab))] += _open(s, np.float64).reshape(-1, K + 3)
         names, sums = model.hot
         if len(names):
-            near = np.minimum(np.searchsorted(names, b.vocab), len(names) - 1)
-            mine = names[near] == b.vocab
+            near = np.minimum(np.searchsorted(names, number), len(names) - 1)
+            mine = names[near] == number
             stats[mine] = np.column_stack([sums, _is_bare(sums)])[near[mine]]
         u, v = pair // len(b.vocab), pair % len(b.vocab)
         p, bare = model.word_p(c), stats[:, K + 2] > 0
@@ -330,6 +335,8 @@ def _lm_scores(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = saved(_word_asks(blocks, buckets).groupBy("bucket").applyInPandas(_sum_words, REPLY))
     word_totals = _totals(words)
     model = Model(word_totals)
+    widest = words.filter("block = -1").agg(F.max(F.col("m")[K + 3])).first()[0] or 0
+    model.number = np.uint32 if widest * buckets < 1 << 32 else np.uint64
     mine = words.filter("block >= 0")
     asks = blocks.groupBy("block").cogroup(mine.groupBy("block")).applyInPandas(_pair_asks(model, buckets), ASK)
     pairs = saved(asks.groupBy("bucket").applyInPandas(_sum_pairs(model), REPLY))
