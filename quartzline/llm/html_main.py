@@ -2,13 +2,14 @@
 
 A page's tree is reduced to a skeleton: element labels (tag and first class), with runs of alike siblings as one node. The
 page with the smallest page_id is its host's reference; all other trees of the host are aligned with it by simple tree matching (the
-largest order-preserving match of nodes whose labels agree). For each reference node, all pages together tell how
-many have it, and in how many its own text is the reference's. Varying nodes are slots, and choose the content; constant nodes within the content
-are read with it, as if they weren't template.
+largest order-preserving match of nodes whose labels agree). For each reference node, all different pages together tell how
+many have it, and in how many its own text is the reference's. Varying nodes are slots; a node whose text is the reference's in ``CONSTANT`` of
+at least ``LEAST_PAGES`` different pages is template, wherever it is. A run is one node, so a paragraph among varying ones stays.
 The content is the deepest node that holds all of the varying text, not counting slots of
-elements that never hold an article (menus, forms, adverts and so on); a host's article or main element is taken as it is. From each page
-the node aligned with the content is read: its blocks, without such elements. Pages whose tree lacks the
-node, or hosts without varying text, use the page's own article or main element, or else its body.
+elements that never hold an article (menus, forms, adverts and so on); an article or main element settles it if most of the varying text is there. From each page
+the node aligned with the content is read: its blocks, without such elements and without the texts that are template. Pages whose tree lacks the
+node, or hosts without varying text, use the page's own article or main element, or else its body. Copies of a page count once, so a
+host that shows one article many times has no template from that.
 
 Null or empty html and pages without text give an empty string. A null url is a host of its own. Every row gives one row, repeated ones too. An
 empty table gives an empty result. Statistics cover all pages and are pre-aggregated; wrappers have one row for each host and are broadcast
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import pick, saved
 
 SMALL_BYTES = 16 << 20
+CONSTANT, LEAST_PAGES = 0.9, 5
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,8 +127,8 @@ def parse(html: str) -> Node:
     return root
 
 
-def text_of(node: Node) -> str:
-    """Blocks in page order, joined by line feeds, without elements that are noise."""
+def text_of(node: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks in page order, joined by line feeds, without elements that are noise and without the own texts of those whose id() is in ``template``."""
     blocks, now = [], []
 
     def end() -> None:
@@ -135,10 +137,11 @@ def text_of(node: Node) -> str:
             blocks.append(t)
         now.clear()
 
-    def walk(x: Node) -> None:
+    def walk(x: Node, mute: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
-                now.append(c)
+                if not mute:
+                    now.append(c)
             elif c.tag == "br":
                 now.append(" ")
             elif c.noise:
@@ -146,12 +149,12 @@ def text_of(node: Node) -> str:
                     end()
             elif c.tag in BLOCKS:
                 end()
-                walk(c)
+                walk(c, id(c) in template)
                 end()
             else:
-                walk(c)
+                walk(c, mute)
 
-    walk(node)
+    walk(node, id(node) in template)
     end()
     return "\n".join(blocks)
 
@@ -259,24 +262,34 @@ def _own_text(node: Node) -> str:
     return "".join(out)
 
 
+def _run_text(run: list[Node]) -> str:
+    """Own text of a node's elements, white space made alike."""
+    return " ".join(" ".join(map(_own_text, run)).split())
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
 def page_skeletons(pages: DataFrame) -> DataFrame:
-    """(page_id, host, skel, hashes and lengths of the nodes' own texts)."""
+    """(page_id, host, skel, hashes and lengths of the nodes' own texts, digest of the page's skeleton and texts)."""
 
     def run(pdfs):
         for pdf in pdfs:
             rows = []
             for i, host, h in zip(pdf["page_id"], pdf["host"], pdf["html"], strict=True):
                 tree, nodes = skeleton(parse(h or ""))
-                own = [" ".join(" ".join(map(_own_text, run)).split()) for run in nodes]
-                rows.append((i, host, json.dumps(tree, separators=(",", ":")), [xxhash.xxh3_64_intdigest(t) >> 1 for t in own], [len(t) for t in own]))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "skel", "hashes", "sizes"])
+                skel, own = json.dumps(tree, separators=(",", ":")), [_run_text(run) for run in nodes]
+                rows.append((i, host, skel, [_hash(t) for t in own], [len(t) for t in own], _hash(json.dumps([skel, own]))))
+            yield pd.DataFrame(rows, columns=["page_id", "host", "skel", "hashes", "sizes", "digest"])
 
-    return pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "page_id long, host string, skel string, hashes array<long>, sizes array<int>")
+    return pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "page_id long, host string, skel string, hashes array<long>, sizes array<int>, digest long")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """One row for each host: host, skel (the reference's), content (its node, or -1)."""
-    skels = saved(page_skeletons(pages))
+    """One row for each host: host, skel (the reference's), content (its node, or -1), template (nodes) and template_hashes (of their texts)."""
+    one = F.min(F.struct("page_id", "skel", "hashes", "sizes")).alias("one")
+    skels = saved(page_skeletons(pages).groupBy("host", "digest").agg(one).select("host", "one.*"))
     first = skels.groupBy("host").agg(F.min("page_id").alias("page_id"))
     refs = skels.join(first, ["host", "page_id"]).dropDuplicates(["host"]).select("host", F.col("skel").alias("ref"), F.col("hashes").alias("ref_hashes"))
 
@@ -297,13 +310,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def choose(pdfs):
         for pdf in pdfs:
-            yield pd.DataFrame({"host": pdf["host"], "skel": pdf["ref"], "content": [content_node(json.loads(r), {s["node"]: (s["n"], s["same"], s["size"]) for s in st}) for r, st in zip(pdf["ref"], pdf["stats"], strict=True)]})
+            rows = []
+            for h, ref, rh, st in zip(pdf["host"], pdf["ref"], pdf["ref_hashes"], pdf["stats"], strict=True):
+                fixed = [s["node"] for s in st if s["size"] and s["n"] >= LEAST_PAGES and s["same"] >= CONSTANT * s["n"]]
+                rows.append((h, ref, content_node(json.loads(ref), {s["node"]: (s["n"], s["same"], s["size"]) for s in st}), fixed, [rh[a] for a in fixed]))
+            yield pd.DataFrame(rows, columns=["host", "skel", "content", "template", "template_hashes"])
 
-    return saved(refs.join(listed, "host").select("host", "ref", "stats").mapInPandas(choose, "host string, skel string, content int"))
+    kind = "host string, skel string, content int, template array<int>, template_hashes array<long>"
+    return saved(refs.join(listed, "host").select("host", "ref", "ref_hashes", "stats").mapInPandas(choose, kind))
 
 
 def content_node(ref: list, stats: dict[int, tuple[int, int, int]]) -> int:
-    """The deepest node of the reference with all of the varying text; an article or main element if it has one."""
+    """The deepest node of the reference with all of the varying text; an article or main element if one has most of it."""
     nodes: list[tuple[list, int, int, bool]] = []  # tree, parent, end, under noise
 
     def walk(t, parent, noise):
@@ -316,13 +334,13 @@ def content_node(ref: list, stats: dict[int, tuple[int, int, int]]) -> int:
     walk(ref, -1, False)
     varying = [0.0] * len(nodes)
     for k, (n, same, size) in stats.items():
-        if k < len(nodes) and not nodes[k][3] and (same < 0.9 * n or n < 3):
+        if k < len(nodes) and not nodes[k][3] and (same < CONSTANT * n or n < 3):
             varying[k] = size
     mass = [sum(varying[k:end]) for k, (_, _, end, _) in enumerate(nodes)]
     if not mass[0]:
         return -1
     for tags in (("article",), ("main",)):
-        best = [k for k, x in enumerate(nodes) if x[0][0].split(".")[0] in tags and not x[3] and mass[k] >= 0.3 * mass[0]]
+        best = [k for k, x in enumerate(nodes) if x[0][0].split(".")[0] in tags and not x[3] and 2 * mass[k] >= mass[0]]
         if best:
             return max(best, key=lambda k: (mass[k], -k))
     k = 0
@@ -347,13 +365,16 @@ def _fallback(root: Node) -> Node:
     return found.get("article") or found.get("main") or found.get("body") or root
 
 
-def main_text(html: str | None, ref: str | None, content: int) -> str:
+def main_text(html: str | None, ref: str | None, content: int, fixed: list[tuple[int, int]]) -> str:
+    """The page's text by its host's wrapper; ``fixed`` has the template's nodes and text hashes."""
     root = parse(html or "")
     if ref is not None and content >= 0:
         tree, nodes = skeleton(root)
-        at = matched(ref, json.dumps(tree, separators=(",", ":"))).get(content)
-        if at is not None:
-            text = "\n".join(t for t in map(text_of, nodes[at]) if t)
+        to = matched(ref, json.dumps(tree, separators=(",", ":")))
+        if content in to:
+            runs = [(nodes[to[a]], t) for a, t in fixed if a in to]
+            template = {id(x) for run, t in runs if _hash(_run_text(run)) == t for x in run}
+            text = "\n".join(t for x in nodes[to[content]] if (t := text_of(x, template)))
             if text:
                 return text
     return text_of(_fallback(root))
@@ -364,12 +385,12 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     plain = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rules = wrappers(plain.filter("page_id is not null"))
     host = host_of(F.col("url"))
-    small = (rules.agg(F.sum(F.length("skel") + F.length("host") + 64)).first()[0] or 0) <= SMALL_BYTES
-    keyed = plain.join(F.broadcast(rules) if small else rules, host == F.col("host"), "left").select("page_id", "url", "html", "skel", F.coalesce("content", F.lit(-1)).alias("content"))
+    small = (rules.agg(F.sum(F.length("skel") + F.length("host") + 12 * F.size("template") + 64)).first()[0] or 0) <= SMALL_BYTES
+    keyed = plain.join(F.broadcast(rules) if small else rules, host == F.col("host"), "left").select("page_id", "url", "html", "skel", F.coalesce("content", F.lit(-1)).alias("content"), F.coalesce("template", F.array().cast("array<int>")).alias("template"), F.coalesce("template_hashes", F.array().cast("array<long>")).alias("template_hashes"))
 
     def run(pdfs):
         for pdf in pdfs:
-            texts = [main_text(h, r, c) for h, r, c in zip(pdf["html"], pdf["skel"], pdf["content"], strict=True)]
+            texts = [main_text(h, r, c, list(zip(a, t, strict=True))) for h, r, c, a, t in zip(pdf["html"], pdf["skel"], pdf["content"], pdf["template"], pdf["template_hashes"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return keyed.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -76,3 +76,25 @@ def test_deep_nesting_and_odd_hosts(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html_main.extract_main(pages).collect()} == want
     assert {r[0] for r in pages.select(html_main.host_of(pages.url)).collect()} == {"my_site.com", "h.com"}
+
+
+def test_constant_nodes_are_template_wherever_they_are(spark):
+    def page(i, tail):
+        return f"<html><body><article><div class=box>Join the club, it costs nothing.</div><h1>Title {i}</h1><p>Text {i} of <b>page</b></p><p>We wrote this with care.</p>{tail}<div class=end>Fixed <a href=#>link</a><div class=by>By author {i}</div></div></article></body></html>"
+
+    rows = [(i, f"http://a.example/{i}", page(i, f"<p>Last {i}</p>" if i % 2 else "")) for i in range(20)]
+    want = {i: "\n".join([f"Title {i}", f"Text {i} of page", "We wrote this with care.", *([f"Last {i}"] if i % 2 else []), f"By author {i}"]) for i in range(20)}
+    # too few different pages for a template, and one article many times
+    rows += [(100 + i, f"http://b.example/{i}", page(i % 4, "")) for i in range(12)]
+    rows += [(200 + i, "http://c.example/same", page(7, "")) for i in range(12)]
+    whole = lambda i: "\n".join(["Join the club, it costs nothing.", f"Title {i}", f"Text {i} of page", "We wrote this with care.", "Fixed link", f"By author {i}"])
+    want |= {100 + i: whole(i % 4) for i in range(12)} | {200 + i: whole(7) for i in range(12)}
+    got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_varying_text_decides_against_a_small_article(spark):
+    body = "a long sentence of this page with many words in it " * 5
+    rows = [(i, f"http://a.example/{i}", f"<body><article><p>Teaser {i}</p></article><div class=story><h1>Head {i}</h1><p>{body}{i}</p></div></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i}\nHead {i}\n{body}{i}" for i in range(8)}
