@@ -13,8 +13,9 @@ Decoding maps ids to bytes and runs an incremental byte-to-text machine that hol
 one unfinished character; bytes that are no UTF-8 become U+FFFD.
 
 Null texts count as empty and give no tokens; every row gives one row, repeated ones too; an
-empty table gives an empty result. Texts are worked on in parts of ``PART`` characters, so only the ids
-of one text are held.
+empty table gives an empty result. Texts of any length are worked on in parts of ``PART`` characters: a part's ids are
+hashed and decoded as they are emitted, so no text's ids are held unless the caller asks for them. A piece longer than
+a part goes through the transducer by itself, and its ids leave in batches. Other columns of the table are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import json
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -160,36 +162,49 @@ class Merges:
             end = before[end - base]
         return out[::-1]
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        """Packed ids of a text without special tokens, by parts."""
-        at, part = 0, PART
-        while at < len(text):
-            chunk = text[at : at + part]
-            pieces = PIECES.findall(chunk)
-            if at + len(chunk) < len(text):
+    def _plain(self, text: str, at: int, stop: int) -> Iterator[bytes]:
+        """Packed ids of a stretch without special tokens, by parts."""
+        part = PART
+        while at < stop:
+            end = min(at + part, stop)
+            pieces = PIECES.findall(text, at, end)
+            if end < stop:
                 if len(pieces) < 3:
                     part *= 2
                     continue
                 # what comes next can still change the last two pieces
-                at -= len(pieces.pop()) + len(pieces.pop())
-            at, part = at + len(chunk), PART
-            yield b"".join(map(self.memory.__getitem__, pieces))
-
-    def encode(self, text: str) -> array:
-        """The text's ids; special tokens in it count as such."""
-        out, at = [], 0
+                end -= len(pieces.pop()) + len(pieces.pop())
+            if part > PART:
+                for p in pieces:
+                    ids = self.piece(p.encode("utf-8", "surrogatepass"))
+                    while batch := array("I", islice(ids, PART)):
+                        yield batch.tobytes()
+            else:
+                yield b"".join(map(self.memory.__getitem__, pieces))
+            at, part = end, PART
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The text's ids in native 32-bit integers, by parts, as they get stable; special tokens in it count as such."""
+        at = 0
         for m in self.splitter.finditer(text) if self.splitter else ():
-            out += self._plain(text[at : m.start()])
-            out.append(struct.pack("=I", self.special[m[0]]))
+            yield from self._plain(text, at, m.start())
+            yield struct.pack("=I", self.special[m[0]])
             at = m.end()
-        out += self._plain(text[at:])
-        return array("I", b"".join(out))
+        yield from self._plain(text, at, len(text))
+
+    def encode(self, text: str) -> array:
+        """All ids of the text."""
+        return array("I", b"".join(self.stream(text)))
 
     def decode(self, ids: array) -> Iterator[str]:
         """The text in parts."""
+        return self.decode_stream(ids[k : k + PART] for k in range(0, len(ids), PART))
+
+    def decode_stream(self, parts: Iterator[array]) -> Iterator[str]:
+        """The text of each part of ids, but for an unfinished character, which the next part or the end completes."""
         machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes_of
-        for k in range(0, len(ids), PART):
-            yield machine.decode(b"".join(map(table.__getitem__, ids[k : k + PART])))
+        for ids in parts:
+            yield machine.decode(b"".join(map(table.__getitem__, ids)))
         yield machine.decode(b"", True)
 
 
@@ -216,6 +231,26 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
+    def row(m: Merges, text: str) -> tuple:
+        hashed, decoded, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+
+        def parts():
+            nonlocal n
+            for packed in m.stream(text):
+                ids = array("I", packed)
+                n += len(ids)
+                yield ids
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                    packed = ids.tobytes()
+                hashed.update(packed)
+                if with_ids:
+                    kept.append(packed)
+
+        for part in m.decode_stream(parts()):
+            decoded.update(part.encode("utf-8"))
+        return (n, hashed.hexdigest(), decoded.hexdigest(), *([b"".join(kept)] * with_ids))
+
     def run(batches):
         import pyarrow as pa
 
@@ -223,16 +258,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 cut = batch.slice(k, 512)
-                rows = []
-                for text in cut.column(1):
-                    ids = m.encode(text.as_py() or "")
-                    decoded = hashlib.sha256()
-                    for part in m.decode(ids):
-                        decoded.update(part.encode("utf-8"))
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    packed = ids.tobytes()
-                    rows.append((len(ids), hashlib.sha256(packed).hexdigest(), decoded.hexdigest(), *([packed] * with_ids)))
+                rows = [row(m, text.as_py() or "") for text in cut.column(1)]
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([cut.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns) + 1])

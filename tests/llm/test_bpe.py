@@ -60,3 +60,16 @@ def test_query_rows(spark, both):
     for r in got:
         assert bytes(r.ids) == want[r.n_tokens, r.ids_sha256, r.decoded_sha256]
     assert bpe.bpe_round_trip(docs.filter("false"), PATH).collect() == []
+
+
+def test_parts_are_streamed_and_long_pieces_too(both, monkeypatch):
+    m, lib = both
+    monkeypatch.setattr(bpe, "PART", 64)
+    word = "".join(random.Random(6).choice("etaoin") for _ in range(3000))
+    for t in [word, f"{word} {word}\n日本語{word}<|endoftext|>{word}é", "short words, many of them. " * 200, "🎉" * 500]:
+        parts = list(m.stream(t))
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert list(m.encode(t)) == want
+        assert len(parts) > 3
+        assert max(map(len, parts)) <= 4 * 64
+        assert "".join(m.decode_stream(bpe.array("I", p) for p in parts)) == t
