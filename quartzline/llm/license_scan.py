@@ -3,7 +3,8 @@
 Paragraphs are lines. All are judged: they go through sparse logistic regression over word 1- and 2-grams, one
 weight vector for each licence family and one for "none". The probabilities are calibrated by a temperature fitted on
 held-out variants. A family counts if it is likelier than ``SURE`` and a template of the family agrees: the share of common words among all words of
-both reaches ``AGREE``, or the share of the template's words that are there reaches ``HELD``. A paragraph that is a licence statement, but of no family surely, is "unknown".
+both reaches ``AGREE``, or the share of the template's words that are there reaches ``HELD``. Where the template has the family's name (one of
+``NAMES``), the paragraph must have one too, so another licence's name in a known form of words gives no family. A paragraph that is a licence statement, but of no family surely, is "unknown".
 
 A paragraph of more than ``WINDOW`` words is judged in windows of that many, one at each ``STEP`` words, so that its other words don't weigh against a
 statement in it. It counts once; its families are those of all its windows, and it is "unknown" if none has a family but one is a statement.
@@ -12,7 +13,8 @@ Training needs no corpus: paragraphs are written from the templates below with s
 ordinary sentences with the same words. Grams of ``COMMON`` words alone have no weight. Lines that hold no word of a gram that makes any
 class likelier than "none" aren't scored: without such grams a line is at most as likely a statement as an empty one, which is "none".
 
-Null texts count as empty; every row gives one row, repeated ones too; an empty table gives an empty result.
+Null texts count as empty; every row gives one row, repeated ones too; an empty table gives an empty result. Texts of any length are judged whole.
+Other columns of the table are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -57,6 +59,20 @@ TEMPLATES = {
     "CC0": ["Released into the public domain under CC0.", "To the extent possible under law, the author has waived all copyright under CC0 public domain dedication."],
     "proprietary": ["All rights reserved.", "Copyright Example Inc. All rights reserved.", "No part may be reproduced without a license from the copyright holder. All rights reserved."],
 }
+#: Words that tell a family from others in the same form of words, its name mostly: all of one list have to be there.
+NAMES = {
+    "MIT": [["mit"]],
+    "Apache-2.0": [["apache"], ["file", "compliance"]],
+    "GPL": [["gpl"], ["gnu", "general"]],
+    "LGPL": [["lgpl"], ["gnu", "lesser"]],
+    "BSD": [["bsd"]],
+    "MPL": [["mpl"], ["mozilla"]],
+    "CC-BY": [["cc", "by"], ["commons", "attribution"]],
+    "CC-BY-SA": [["cc", "sa"], ["sharealike"]],
+    "CC-BY-NC": [["cc", "nc"], ["commons", "noncommercial"]],
+    "CC0": [["cc0"], ["public", "domain"]],
+    "proprietary": [["rights", "reserved"], ["reproduced", "copyright"]],
+}
 ORDINARY = ["She got her driving license last week.", "The plumber is a licensed professional with years of work.", "Poetic license allows the author to change the facts.", "The bar lost its liquor license in the city.", "Parking requires a license plate number.", "A fishing licence costs ten euros in this state.", "The doctor is licensed to practice medicine.", "They discussed copyright law at the university.", "Copyright disputes are common in music.", "He has a license to operate the crane.", "The term public domain came up in class.", "The apache helicopter pilot had a license.", "Students at MIT need a license for the lab.", "The mayor renewed the taxi license of the general public service.", "Er kommt mit dem Zug und geht mit ihr nach Hause.", "Mit dem Hund war sie im Wald.", "Das ist mit Abstand der beste Tag und mit viel Arbeit verbunden.", "Sie sprach mit ihm.", "Mit und ohne Regen.", "The software was slow in the first version.", "The author may not use this text in class.", "The public library has a general source of files.", "Under the terms of the agreement he may leave the project.", "All people have rights.", "She reserved a table for two.", "Permission to enter was granted by the owner.", "The foundation published work on free speech.", "The international commons room is part of the domain.", "The holder of the ticket is governed by the law of the state."]
 UNKNOWN = ["Licensed under the terms given below.", "This work is licensed under the Foo Bar License, version 7.", "Released under the Example Community License.", "Distributed under a custom license.", "The software is provided \"as is\", without warranty of any kind, express or implied."]
 
@@ -142,7 +158,10 @@ def _judge(line: Column, model: Model) -> Column:
     vec = lambda v: F.array(*[F.lit(float(x)) for x in v])
     vocabulary, weights = F.array(*[F.lit(g) for g in model.vocabulary]), F.array(*[vec(w) for w in model.weights[:-1]])
     names = F.array(*[F.lit(f) for f in model.families])
-    templates = F.array(*[F.array(*[F.array(*[F.lit(w) for w in sorted(set(words_in(t)))]) for t in TEMPLATES.get(f, [""])]) for f in model.families])
+    called = F.array(*[F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in NAMES.get(f, [[""]])]) for f in model.families])
+    has_name = lambda f, t: any(set(ws) <= set(words_in(t)) for ws in NAMES.get(f, []))
+    template = lambda f, t: F.struct(F.array(*[F.lit(w) for w in sorted(set(words_in(t)))]).alias("ws"), F.lit(has_name(f, t)).alias("named"))
+    templates = F.array(*[F.array(*[template(f, t) for t in TEMPLATES.get(f, [""])]) for f in model.families])
 
     def with_words(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", w[i], F.when(i + 1 < F.size(w), w[F.least(i + 1, F.size(w) - 1)])))
@@ -159,7 +178,9 @@ def _judge(line: Column, model: Model) -> Column:
     def verdict(w: Column, p: Column) -> Column:
         best = (F.array_position(p, F.array_max(p)) - 1).cast("int")
         both = lambda t: F.size(F.array_intersect(w, t))
-        agrees = F.exists(templates[best], lambda t: (both(t) / F.size(F.array_union(w, t)) >= AGREE) | (both(t) / F.size(t) >= HELD))
+        named = F.exists(called[best], lambda ws: F.size(F.array_except(ws, w)) == 0)
+        like = lambda t: (both(t) / F.size(F.array_union(w, t)) >= AGREE) | (both(t) / F.size(t) >= HELD)
+        agrees = F.exists(templates[best], lambda t: (named | ~t["named"]) & like(t["ws"]))
         statement = 1 - p[len(model.families) - 1]
         sure = (F.array_max(p) > SURE) & (best < len(model.families) - 2) & agrees
         family = F.when(sure, names[best]).when(statement > LEAST_STATEMENT, F.lit("unknown")).otherwise(F.lit(NONE))

@@ -66,3 +66,17 @@ def test_statements_inside_long_paragraphs(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = [(r.n_paragraphs, r.families, r.n_unknown) for r in L.license_scan(docs).sort("doc_id").collect()]
     assert got == want
+
+
+def test_other_licences_in_known_words_are_unknown(spark):
+    """Families left out of training, in the forms of words of those in it."""
+    forms = ["This software is licensed under the {} license.", "Released under the {} License.", "This project is licensed under the terms of the {} license.", "Licensed under the {} License, version 2.1."]
+    others = ["Zlib", "WTFPL", "ISC", "EUPL", "Artistic", "Eclipse", "Unlicense", "OpenSSL"]
+    rows = [f.format(o) for f in forms for o in others]
+    known = [f.format(n) for f in forms for n in ("MIT", "BSD", "Apache")]
+    got = [r.families for r in L.license_scan(spark.createDataFrame(list(enumerate(rows + known)), "doc_id long, text string")).sort("doc_id").collect()]
+    assert got[: len(rows)] == [""] * len(rows)
+    right = sum(g in ("MIT", "BSD", "Apache-2.0") and g[:3] in k for g, k in zip(got[len(rows) :], known, strict=True))
+    assert right >= 0.75 * len(known), got[len(rows) :]
+    unknown = [r.n_unknown for r in L.license_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert sum(unknown) >= 0.9 * len(rows)
