@@ -5,17 +5,24 @@ of a pattern that is too short is dropped after matching, so it still uses up it
 is a projection of the scan: no shuffle, no user function, and texts without any candidate cost one
 regular-expression search.
 
-The battery takes runs of 20 or more key characters, infers an encoding (hexadecimal, base 32, base 64)
+The battery takes runs of 20 or more key characters, infers an encoding (hexadecimal, base 32, base 36, base 64)
 and tests the run against a uniform draw from that alphabet: chi-squared for the letters' counts, the runs test above and
 below the alphabet's middle, and the lag-one serial correlation. The smallest of the three p-values, times three,
-is the run's. Within a text the Benjamini-Hochberg rule, with weights by length, rejects the
-runs that aren't random, so that long runs, whose tests are strong, use more of the allowed errors. What it
-doesn't reject and what carries at least ``MIN_BITS`` bits is reported as kind ``random``, unless a
-pattern's span holds it already.
+is the run's; one under ``STRAY`` isn't random and goes. Names that are put together from words pass this battery when they are short, so
+a second runs test has them as its null hypothesis: the number of changes between small and capital letters, digits and signs,
+against that of identifiers (``word_null``, fitted for each encoding). Within a text the Benjamini-Hochberg rule on these p-values, with
+weights by length, bounds the share of names among what is reported at ``FDR``: long runs, whose tests are strong, use
+more of the allowed errors. What passes and carries at least ``MIN_BITS`` bits is reported as kind ``random``, unless a
+pattern's span holds it already. Texts of any length are scanned whole, an empty table gives an empty result, and other columns
+of the table are left out, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import random
+import re
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +35,7 @@ HEX = "[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
 RUN = "[A-Za-z0-9+/_-]{20,}"
-MIN_BITS, FDR = 80.0, 0.05
+MIN_BITS, FDR, STRAY = 80.0, 0.05, 0.001
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
     "hex": ("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef"),
@@ -37,6 +44,11 @@ ALPHABETS = {
     "base36": ("^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
+#: Places between two characters of different classes.
+CHANGE = "|".join(f"(?<=[{c}])(?![{c}])(?!$)" for c in ("a-z", "A-Z", "0-9", "+/_-"))
+#: Words of made-up names, and those that hexadecimal digits can write.
+WORDS = "account address backup batch build cache client cluster config connection content controller counter database date default device document error event export factory field file filter first frame global group handler header image import index input instance item key label last layer list load local manager message method model module name network number object option order output page parent parser path port process project provider query queue reader record region release report request response result route schema server service session source stage status storage stream string system table target task template test thread time type update user value version view window worker".split()
+HEX_WORDS = "add added bad bed beef cab cafe dad dead deaf decade face facade fade fed feed".split()
 #: Sorts by start, then kind as listed.
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
@@ -68,6 +80,39 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(x * 1.5976 + x * x * x * 0.07056))
 
 
+@cache
+def word_null(seed: int = 5, names: int = 4000) -> dict[str, tuple[float, float]]:
+    """For each encoding the mean rate of class changes in made-up names and their variance a place."""
+    rng = random.Random(seed)
+
+    def name(kind: str) -> str:
+        words, out, least = HEX_WORDS if kind.lower() == "hex" else WORDS, "", rng.randrange(20, 41)
+        digits = "234567" if kind == "base32" else "0123456789"
+        join = rng.choice(["", "", "_", "-"]) if kind == "base64" else ""
+        while len(out) < least:
+            w = rng.choice(words)
+            w = w.upper() if kind in ("HEX", "base32") else w.capitalize() if kind == "base64" and not (join and rng.random() < 0.5) else w
+            out += (join if out else "") + w
+            if rng.random() < 0.2:
+                out += "".join(rng.choice(digits) for _ in range(rng.randrange(1, 5)))
+        return out
+
+    fitted = {}
+    for kind in ALPHABETS:
+        made = [name(kind) for _ in range(names)]
+        counts = [(len(re.findall(CHANGE, x)), len(x) - 1) for x in made]
+        rate = sum(c for c, _ in counts) / sum(n for _, n in counts)
+        fitted[kind] = rate, sum((c - rate * n) ** 2 / n for c, n in counts) / names
+    return fitted
+
+
+def _p_word(v: Column, letters: Column) -> Column:
+    """That of at least the run's class changes in a made-up name."""
+    n = (F.length(v) - 1).cast("double")
+    by_kind = lambda i: F.coalesce(*[F.when(letters == abc, F.lit(word_null()[k][i])) for k, (_, abc) in ALPHABETS.items()])
+    return _tail((F.regexp_count(v, F.lit(CHANGE)) - by_kind(0) * n - 0.5) / F.sqrt(by_kind(1) * n))
+
+
 def _encoding(v: Column) -> Column:
     out = F.lit("")
     for _, (pattern, letters) in reversed(ALPHABETS.items()):
@@ -103,20 +148,20 @@ def _p_value(v: Column, letters: Column) -> Column:
 
 
 def _random_runs(t: Column) -> Column:
-    """Spans of the runs that the battery doesn't reject, with the false-discovery rule over the text's runs."""
+    """Spans of the runs that the battery calls random, with the false-discovery rule over the text's runs against names."""
     runs = _spans(t, RUN, KINDS.index("random"))
     coded = F.filter(F.transform(runs, lambda r: F.struct(r.alias("r"), _encoding(r["v"]).alias("abc"))), lambda x: x["abc"] != "")
-    tested = F.transform(coded, lambda x: F.struct(x["r"].alias("r"), x["abc"].alias("abc"), _p_value(x["r"]["v"], x["abc"]).alias("p")))
+    tested = F.transform(coded, lambda x: F.struct(x["r"].alias("r"), x["abc"].alias("abc"), _p_value(x["r"]["v"], x["abc"]).alias("p"), _p_word(x["r"]["v"], x["abc"]).alias("name")))
 
     def control(runs: Column) -> Column:
         m = F.size(runs)
         lengths = F.aggregate(runs, F.lit(0.0), lambda s, x: s + F.length(x["r"]["v"]))
-        weighted = F.transform(runs, lambda x: x["p"] * lengths / (F.length(x["r"]["v"]) * m))
+        weighted = F.transform(runs, lambda x: x["name"] * lengths / (F.length(x["r"]["v"]) * m))
         ranked = F.sort_array(weighted)
         passed = F.filter(F.transform(ranked, lambda p, i: F.when(p <= (i + 1) * F.lit(FDR) / m, p).otherwise(F.lit(-1.0))), lambda p: p >= 0)
         limit = F.coalesce(F.array_max(passed), F.lit(-1.0))
         bits = lambda x: F.length(x["r"]["v"]) * F.log2(F.length(x["abc"]))
-        stays = F.filter(runs, lambda x, i: (weighted[i] > limit) & (bits(x) >= MIN_BITS))
+        stays = F.filter(runs, lambda x, i: (weighted[i] <= limit) & (x["p"] >= STRAY) & (bits(x) >= MIN_BITS))
         return F.transform(stays, lambda x: x["r"])
 
     return F.when(t.rlike(RUN), let(tested, control)).otherwise(F.array().cast(SPAN))
