@@ -39,6 +39,8 @@ TREES = sum(map(len, BATCHES))
 SKETCH, SMALL, PIVOTS, FEW = 96, 48, 4, 4_000_000
 #: What one task compares: documents and bytes of their sets. A very long text may be more by itself.
 NODE, NODE_BYTES = 8192, 24_000_000
+#: Bits of the bitmaps that texts are looked up in before they are shuffled: 4 MB.
+BITS = 1 << 25
 #: Sketches estimate similarity with a deviation under 0.05; candidates may lie three and a half of them below the threshold.
 MAYBE = 0.59
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -239,6 +241,19 @@ def marked(rows: DataFrame) -> DataFrame:
     return _dealt(rows.select("node", "chunk", "id", "lab", "sk")).mapInArrow(run, "node long, chunk int, id long, lab long")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``wanted``: all that are, and those whose hash falls on the same one of ``BITS``.
+
+    It keeps the texts that nobody asks for out of the exact join's shuffle; the bitmaps are as large for any input.
+    """
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    bucket, at = F.bitmap_bucket_number(h), F.bitmap_bit_position(h)
+    # dealt by bucket first, so that map tasks don't each send a part of every bitmap
+    maps = wanted.select(bucket.alias("bucket"), at.alias("at")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(maps), (bucket == F.col("bucket")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def confirmed(marks: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) on the full sets of whole texts that join the labels of each unit of ``marks`` wherever any of its documents reach the threshold."""
 
@@ -266,7 +281,7 @@ def confirmed(marks: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     wanted = marks.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = _likely(docs, wanted).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     whole = marks.join(texts.withColumnRenamed("doc_id", "id"), "id").select("node", "chunk", "id", "lab", "text")
     return _dealt(whole.mapInArrow(as_sets, "node long, chunk int, id long, lab long, s binary")).mapInArrow(run, "a long, b long")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzline.llm import near_dedup
+from quartzline.llm.common import saved
 from quartzline.llm.components import components
 
 
@@ -56,6 +57,14 @@ def corpus(seed, n_groups=25, crowd=260):
     return list(enumerate(texts))
 
 
+def shuffled(spark):
+    """Bytes that the session's executors have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    each = sc.statusStore().executorList(False)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
 def components_of(spark, rows):
     docs = spark.createDataFrame([(i, t, True, 1, 2) for i, t in rows], "doc_id long, text string, kept boolean, Node int, sk int")
     got = near_dedup.near_dedup(docs).collect()
@@ -161,3 +170,33 @@ def test_marks_lose_no_pair_within_reach():
     want = np.array([(near_dedup._alike(m, m[k]) & (lab != k)).any() for k in lab])
     assert (near_dedup._mark(m, lab, 3) == want).all()
     assert not near_dedup._mark(m, np.zeros(len(m), int), 3).any()
+
+
+def test_shuffles_leave_texts_out(spark):
+    """Two near copies among texts that nothing resembles: confirming them doesn't shuffle all texts, as joining them whole did."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.randrange(16**8):x}" for _ in range(2000))) for i in range(200)]
+    rows.append((200, rows[0][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = saved(docs)
+        at = shuffled(spark)
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()}
+        written = shuffled(spark) - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows)
+    assert 0 < written < sum(len(t) for _, t in rows) / 2
+
+
+def test_likely_keeps_all_that_are_wanted(spark, monkeypatch):
+    """Also where many ids fall on the same bits."""
+    docs, wanted = (spark.range(*x).select((F.col("id") * 7919 - 50000).alias("doc_id")) for x in ((20000,), (0, 20000, 9)))
+    for bits in (1 << 25, 1 << 14, 1, 1000):
+        monkeypatch.setattr(near_dedup, "BITS", bits)
+        kept = near_dedup._likely(docs, wanted)
+        assert wanted.join(kept, "doc_id", "left_anti").isEmpty()
+        assert kept.count() == kept.distinct().count() <= 20000
+        assert bits < 1 << 25 or kept.count() < 2300
