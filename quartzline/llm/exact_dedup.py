@@ -50,8 +50,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.toDF(*[f"__c{i}" for i in range(len(names))])
     i, t = (F.col(f"__c{names.index(c)}") for c in (id_col, text_col))
     norm = lower_ascii(F.coalesce(t, F.lit("")))
-    keyed = plain.withColumns({"__id": i, "__h": md5_of(norm), "__sha": F.sha2(norm, 256)})
-    stay = copy_groups(plain.select(i.alias("doc_id"), norm.alias("norm"))).select(F.col("keep_id").alias("k"), F.col("h"), F.col("sha"))
-    on = F.col("__id").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h")) & (F.col("__sha") == F.col("sha"))
-    kept = keyed.join(stay, on, "left_semi").dropDuplicates(["__id", "__h", "__sha"])
-    return kept.select(*[f"__c{k}" for k in range(len(names))]).toDF(*names)
+    # a struct with a null in it equals another, so null ids meet in a plain equi-join; repeated rows collapse in map tasks,
+    # and the join finds the rows where this leaves them
+    keys = ["__id", "__h", "__sha"]
+    keyed = plain.withColumns({"__id": F.struct(i.alias("id")), "__h": md5_of(norm), "__sha": F.sha2(norm, 256)}).dropDuplicates(keys)
+    stay = copy_groups(plain.select(i.alias("doc_id"), norm.alias("norm"))).select(F.struct(F.col("keep_id").alias("id")).alias("__id"), F.col("h").alias("__h"), F.col("sha").alias("__sha"))
+    return keyed.join(stay, keys, "left_semi").select(*[f"__c{k}" for k in range(len(names))]).toDF(*names)

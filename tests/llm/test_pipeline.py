@@ -1,11 +1,13 @@
 """The pipeline: each stage on its predecessor's rows against the operators' own verdicts and brute force."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
-from test_near_dedup import brute
+from test_near_dedup import brute, shuffled
 
-from quartzline.llm import quality_rules
+from quartzline.llm import exact_dedup, quality_rules
+from quartzline.llm.common import saved
 
 
 def test_stages(spark, tmp_path):
@@ -32,3 +34,28 @@ def test_stages(spark, tmp_path):
     assert max(mixed.values()) <= 2 and set(mixed) <= {0, 2, 3, 4, 6}
     assert Counter(r.doc_id for r in out[4].collect()) == mixed
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == mixed
+
+
+def test_exact_copies_shuffle(spark):
+    """Rows go through one shuffle and normalised texts through another; a third had the rows again. Null ids, repeated rows and ties stay right."""
+    rng = random.Random(3)
+    rows = [(i, rng.randbytes(2500).hex()) for i in range(300)]
+    rows += [(300, rows[0][1].upper()), (None, rows[1][1]), (None, "Only null"), (None, "only NULL"), (2, rows[2][1]), (301, None), (302, ""), (301, "other")]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = shuffled(spark)
+        got = [(r.doc_id, (r.text or "").lower()) for r in exact_dedup.drop_copies(docs).collect()]
+        written = shuffled(spark) - at
+        at = shuffled(spark)
+        docs.repartition(5, "doc_id").write.format("noop").mode("overwrite").save()
+        once = shuffled(spark) - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    most: dict = {}
+    for i, t in rows:
+        t = (t or "").lower()
+        most[t] = max((most.get(t, -1), -1 if i is None else i))
+    assert Counter(got) == Counter({(None if i == -1 else i, t): 1 for t, i in most.items()})
+    assert 0 < written < 2.5 * once
